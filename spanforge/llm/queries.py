@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding, simhash
+from . import langid, marginal, mixing, sharding, simhash, spmodel
 from .session import table
 
 
+def op2_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lattice and base scores of every document; see marginal.score."""
+    return marginal.score(table(spark, sf_dir, "documents"))
+
+
+def op3_word_first_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; see langid.identify."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document; see simhash.simhash_components."""
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
@@ -20,6 +30,11 @@ def op6_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, ids, n_tokens, exact) of every document: its pieces, and whether they decode to the text."""
+    return spmodel.encoded(spark, table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op9_proportional_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cell, target weight, probability and decision of every document; see mixing.mix."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -27,8 +42,11 @@ def op9_proportional_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_lattice_likelihood": op2_lattice_likelihood,
+        "op3_word_first_langid": op3_word_first_langid,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op6_two_pass_shuffle": op6_two_pass_shuffle,
+        "op7_sentencepiece": op7_sentencepiece,
         "op9_proportional_mixing": op9_proportional_mixing,
     }
 

@@ -86,7 +86,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def hash_spans(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit hash of each span of bytes; equal bytes give equal hashes on every machine."""
     load = lanes(data)
-    out = mix(lengths.astype(U64) + U64(seed) * U64(0x9E3779B97F4A7C15))
+    out = mix(lengths.astype(U64) + U64(seed * 0x9E3779B97F4A7C15 % 2**64))
     at, live = 0, np.arange(len(starts))
     while len(live):
         left = lengths[live] - at
