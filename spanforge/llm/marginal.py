@@ -34,7 +34,7 @@ from .textcore import U8, U64, U64Map, ragged, slices
 from .wordstats import Tokens
 
 RANK_OFFSET = 50.0
-HOT_SHARE = 1 / 60_000
+HOT_SHARE = 1 / 500_000
 ROUNDS = 2
 PART = 8 << 20
 LN10 = float(np.log(10.0))
@@ -78,7 +78,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             words = pa.BinaryArray.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(t.data[ragged(begin, size)].tobytes())])
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), words, pa.array(c)], names=["key", "word", "c"])
 
-    return docs.mapInArrow(go, "key long, word binary, c long").groupBy("key").agg(F.first("word").alias("word"), F.sum("c").alias("c"))
+    return docs.mapInArrow(go, "key long, word binary, c long").groupBy("key", "word").agg(F.sum("c").alias("c"))
 
 
 def _spelled(column: pa.Array):
@@ -160,45 +160,46 @@ def score(docs: DataFrame, model_path: str | None = None, rounds: int = ROUNDS)
     end_base, end_score = float(base_of(np.array([ends]))[0]), float(np.log10(ends / tokens)) if ends else 0.0
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each text its tokens and what the hot words give; for each other word of a batch its texts and uses."""
+        """For each text its tokens and what the hot words and the end give."""
         index, hot_c, hot_value = hot.value
         for batch in slices(batches, "text", PART):
             t = Tokens(batch.column(0))
-            n = len(batch.column(0))
-            doc = t.docs()
+            n = batch.num_rows
             at = index.find(t.keys)
             found = at >= 0
-            c, value = hot_c[at[found]], hot_value[at[found]]
-            sums = [np.bincount(doc[found], w, n) for w in (base_of(c), value)]
-            n_known = np.bincount(doc[found], minlength=n) + (ends > 0)
-            size = np.diff(t.offsets) + 1
-            ids = batch.column(1)
-            text_key = pa.array(t.text_keys.view(np.int64))
-            none = lambda kind: pa.nulls(n, kind)
-            yield pa.RecordBatch.from_arrays([ids, text_key, pa.array(size), pa.array(n_known.astype(np.int64)), pa.array(sums[0] + end_base), pa.array(sums[1] + end_score), none(pa.int64()), none(pa.list_(pa.int64())), none(pa.list_(pa.int64())), none(pa.list_(pa.int32()))], names=NAMES)
-            cold = ~found
+            doc = t.docs()[found]
+            sums = [np.bincount(doc, w, n) for w in (base_of(hot_c[at[found]]), hot_value[at[found]])]
+            n_known = np.bincount(doc, minlength=n) + (ends > 0)
+            columns = (np.ones(n, np.int64), np.diff(t.offsets) + 1, n_known.astype(np.int64), sums[0] + end_base, sums[1] + end_score)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(_short(t)), *map(pa.array, columns)], names=SUMS)
+
+    def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each other word of a batch its texts and uses."""
+        index = hot.value[0]
+        for batch in slices(batches, "text", PART):
+            t = Tokens(batch.column(0))
+            cold = index.find(t.keys) < 0
             if not cold.any():
                 continue
+            n = batch.num_rows
             key, where = np.unique(t.keys[cold], return_inverse=True)
-            pair = where.astype(np.int64) * n + doc[cold]
-            pair, uses = np.unique(pair, return_counts=True)
-            word, text = pair // n, pair % n
-            cuts = pa.array(np.searchsorted(word, np.arange(len(key) + 1)).astype(np.int32))
-            k = len(key)
-            take = pa.array(text)
-            lists = [pa.ListArray.from_arrays(cuts, x) for x in (ids.take(take), text_key.take(take), pa.array(uses.astype(np.int32)))]
-            none = lambda kind: pa.nulls(k, kind)
-            yield pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.float64()), pa.array(key.view(np.int64)), *lists], names=NAMES)
-
-    parts = rows.select("text", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(known, SCHEMA)
-    parts = cut(parts)
-    words = parts.where(F.col("key").isNotNull()).select("key", "ids", "text_keys", "uses")
+            pair, uses = np.unique(where.astype(np.int64) * n + t.docs()[cold], return_counts=True)
+            text = pa.array(pair % n)
+            cuts = pa.array(np.searchsorted(pair // n, np.arange(len(key) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cuts, x) for x in (batch.column(1).take(text), pa.array(_short(t)).take(text), pa.array(uses.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *lists], names=["key", "ids", "text_keys", "uses"])
+
+    # The texts are read once for each of the two: that costs less than keeping the lists would.
+    read = rows.select("text", F.col("doc_id").cast("long").alias("doc_id"))
+    warm = read.mapInArrow(known, "doc_id long, text_key int, rows long, n_tokens long, n_known long, base double, value double")
+    words = read.mapInArrow(unknown, "key long, ids array<long>, text_keys array<int>, uses array<int>")
     listed = words.join(valued.select(F.col("key").alias("of"), "c", "value"), F.col("key") == F.col("of"))
     base = F.log10((F.col("c") + F.lit(0.5)) / F.lit(below))
     one = listed.select(F.explode(F.arrays_zip("ids", "text_keys", "uses")).alias("x"), base.alias("b"), "value", (F.col("c") > 0).cast("long").alias("k"))
     use = F.col("x.uses")
-    cold = one.select(F.col("x.ids").alias("doc_id"), F.col("x.text_keys").alias("text_key"), F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("n_tokens"), (F.col("k") * use).alias("n_known"), (F.col("b") * use).alias("base"), (F.col("value") * use).alias("value"))
-    warm = parts.where(F.col("key").isNull()).select("doc_id", "text_key", F.lit(1).cast("long").alias("rows"), "n_tokens", "n_known", "base", "value")
+    cold = one.select(F.col("x.ids").alias("doc_id"), F.col("x.text_keys").alias("text_key"), (F.col("k") * use).alias("n_known"), (F.col("b") * use).alias("base"), (F.col("value") * use).alias("value"))
+    cold = cold.groupBy("doc_id", "text_key").agg(*[F.sum(c).alias(c) for c in ("n_known", "base", "value")])
+    cold = cold.select("doc_id", "text_key", F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("n_tokens"), "n_known", "base", "value")
     # Rows with one id and one text are summed together and dealt out again.
     sums = warm.unionByName(cold).groupBy("doc_id", "text_key").agg(*[F.sum(c).alias(c) for c in ("rows", "n_tokens", "n_known", "base", "value")])
     again = sums.withColumn("copy", F.explode(F.when(F.col("rows") == 1, F.array(F.lit(1).cast("long"))).otherwise(F.sequence(F.lit(1).cast("long"), F.col("rows")))))
@@ -206,5 +207,9 @@ def score(docs: DataFrame, model_path: str | None = None, rounds: int = ROUNDS)
     return again.select(F.col("doc_id").cast(kind).alias("doc_id"), held_out(F.col("doc_id"), 5, 1).alias("held_out"), F.expr("n_tokens div rows").alias("n_tokens"), F.expr("n_known div rows").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") / F.col("rows")).alias("base_score"), (F.col("value") / F.col("rows")).alias("score"))
 
 
-NAMES = ["doc_id", "text_key", "n_tokens", "n_known", "base", "value", "key", "ids", "text_keys", "uses"]
-SCHEMA = "doc_id long, text_key long, n_tokens long, n_known long, base double, value double, key long, ids array<long>, text_keys array<long>, uses array<int>"
+SUMS = ["doc_id", "text_key", "rows", "n_tokens", "n_known", "base", "value"]
+
+
+def _short(t: Tokens) -> np.ndarray:
+    """32 bits of each text's hash: enough to tell apart texts that share an id."""
+    return (t.text_keys >> U64(32)).astype(np.uint32).view(np.int32)
