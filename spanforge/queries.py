@@ -1,5 +1,479 @@
 """Registry of the library's own queries and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = "score_window_f1"
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .functions import text as tx
+from .operators import scoring, selection
+from .plans.roles import GOLD_SQL, UNSEEN, gold, predicted, predicted_sql, read, samples, samples_sql, windows
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+FLAGSHIP = "score_s1_window_f1"
+PRED_SQL = predicted_sql()
+BOTH = f"g AS ({GOLD_SQL}), p AS ({PRED_SQL})"
+RUN_SQL = "SELECT o_orderkey AS id, CAST(o_totalprice * 100 AS BIGINT) % 1000 / 1000.0::DOUBLE AS score, CAST(o_orderkey % 3 = 0 AS BIGINT) AS y, o_orderkey % 7 - 3 AS gain, o_custkey AS doc FROM orders"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def run_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored rows: id, score, y (helpful or not), gain, doc."""
+    o = read(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), (F.round(F.col("o_totalprice") * 100).cast("long") % 1000 / F.lit(1000.0)).alias("score"), (F.col("o_orderkey") % 3 == 0).cast("long").alias("y"), (F.col("o_orderkey") % 7 - 3).alias("gain"), F.col("o_custkey").alias("doc"))
+
+
+# Scorers
+
+F1 = "CASE WHEN {p} + {r} = 0 THEN 0.0 ELSE 2 * {p} * {r} / ({p} + {r}) END"
+
+
+def s1_sql(cols: str) -> str:
+    return f"""WITH {BOTH}, gs AS (SELECT DISTINCT wnd_id, {cols} FROM g), ps AS (SELECT DISTINCT wnd_id, {cols} FROM p),
+    n AS (SELECT wnd_id, count(*) FILTER (side = 0) AS n_gold, count(*) FILTER (side = 1) AS n_pred, count(*) FILTER (side = 2) AS tp FROM
+      (SELECT wnd_id, 0 AS side FROM gs UNION ALL SELECT wnd_id, 1 FROM ps UNION ALL SELECT wnd_id, 2 FROM (SELECT * FROM gs INTERSECT SELECT * FROM ps)) GROUP BY wnd_id),
+    pr AS (SELECT *, CASE WHEN n_pred = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / n_pred END AS p, CASE WHEN n_gold = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / n_gold END AS r FROM n)
+    SELECT wnd_id, tp, n_pred, n_gold, round({F1.format(p="p", r="r")}, 9) AS f1 FROM pr"""
+
+
+@query("score_s1_window_f1", s1_sql("event_type, s, e"))
+def _(spark, d):
+    return scoring.window_f1(gold(spark, d), predicted(spark, d))
+
+
+@query("score_s1_argument_f1", s1_sql("event_type, s, e, a"))
+def _(spark, d):
+    return scoring.window_f1(gold(spark, d), predicted(spark, d), "argument")
+
+
+@query("score_s1_macro_mean", f"SELECT round(avg(f1), 7) AS macro_f1, count(*) AS n_windows FROM ({s1_sql('event_type, s, e')})")
+def _(spark, d):
+    return scoring.window_f1(gold(spark, d), predicted(spark, d)).agg(F.round(F.avg("f1"), 7).alias("macro_f1"), F.count(F.lit(1)).alias("n_windows"))
+
+
+def bag_sql(by: str = "") -> str:
+    group = f"GROUP BY {by}" if by else ""
+    lead = f"{by}, " if by else ""
+    return f"""WITH {BOTH}, u AS (SELECT wnd_id, event_type, s, e, 1 AS g, 0 AS p FROM g UNION ALL SELECT wnd_id, event_type, s, e, 0, 1 FROM p),
+    i AS (SELECT wnd_id, event_type, s, e, sum(g) AS g, sum(p) AS p FROM u GROUP BY ALL),
+    c AS (SELECT {lead}CAST(sum(least(g, p)) AS BIGINT) AS tp, CAST(sum(p) AS BIGINT) AS n_pred, CAST(sum(g) AS BIGINT) AS n_gold FROM i {group}),
+    q AS (SELECT *, CAST(tp AS DOUBLE) / greatest(n_pred, 1) AS pp, CAST(tp AS DOUBLE) / greatest(n_gold, 1) AS rr FROM c)
+    SELECT {lead}tp, n_pred, n_gold, round(pp, 9) AS precision, round(rr, 9) AS recall, round({F1.format(p="pp", r="rr")}, 9) AS f1 FROM q"""
+
+
+@query("score_s2_bag_micro", bag_sql())
+def _(spark, d):
+    return scoring.micro(scoring.bag_counts(gold(spark, d), predicted(spark, d)))
+
+
+@query("score_s2_per_type", bag_sql("event_type"))
+def _(spark, d):
+    return scoring.micro(scoring.bag_counts(gold(spark, d), predicted(spark, d), by=["event_type"]), ["event_type"])
+
+
+@query("score_s2_type_delta", f"SELECT a.event_type, round(b.f1 - a.f1, 8) AS delta FROM ({bag_sql('event_type')}) a JOIN ({bag_sql('event_type').replace(PRED_SQL, predicted_sql(3))}) b USING (event_type) WHERE a.n_gold > 0")
+def _(spark, d):
+    a, b = (scoring.micro(scoring.bag_counts(gold(spark, d), predicted(spark, d, m), by=["event_type"]), ["event_type"]) for m in (5, 3))
+    return a.where("n_gold > 0").join(b.select("event_type", F.col("f1").alias("other")), "event_type").select("event_type", F.round(F.col("other") - F.col("f1"), 8).alias("delta"))
+
+
+@query("score_s3_list_micro", f"""WITH {BOTH}, gc AS (SELECT wnd_id, event_type, s, e, count(*) AS ng FROM g GROUP BY ALL), pc AS (SELECT wnd_id, event_type, s, e, count(*) AS np FROM p GROUP BY ALL),
+  j AS (SELECT coalesce(ng, 0) AS ng, coalesce(np, 0) AS np FROM gc FULL JOIN pc USING (wnd_id, event_type, s, e))
+  SELECT count(*) FILTER (ng > 0 AND np > 0) AS tp, CAST(sum(np) - count(*) FILTER (ng > 0 AND np > 0) AS BIGINT) AS fp, CAST(coalesce(sum(ng) FILTER (np = 0), 0) AS BIGINT) AS fn FROM j""")
+def _(spark, d):
+    return scoring.list_counts(gold(spark, d), predicted(spark, d))
+
+
+@query("score_s4_pooled_types", f"""WITH {BOTH}, gs AS (SELECT DISTINCT wnd_id, event_type, s, e FROM g WHERE event_type IN ('R:F', 'N:O')), ps AS (SELECT DISTINCT wnd_id, event_type, s, e FROM p WHERE event_type IN ('R:F', 'N:O'))
+  SELECT (SELECT count(*) FROM (SELECT * FROM gs INTERSECT SELECT * FROM ps)) AS tp, (SELECT count(*) FROM ps) AS n_pred, (SELECT count(*) FROM gs) AS n_gold""")
+def _(spark, d):
+    return scoring.pooled_counts(gold(spark, d), predicted(spark, d), ["R:F", "N:O"])
+
+
+@query("diagnose_window_buckets", f"SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN tp = n_pred AND tp = n_gold THEN 'exact' WHEN n_pred = 0 THEN 'gold_only' WHEN n_gold = 0 THEN 'pred_only' ELSE 'both' END AS bucket FROM ({s1_sql('event_type, s, e')})) GROUP BY bucket")
+def _(spark, d):
+    return scoring.exact_windows(gold(spark, d), predicted(spark, d)).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("diagnose_gold_errors", f"""WITH {BOTH}, j AS (SELECT g.wnd_id, g.event_type, g.s, g.e, g.a, g.rid,
+    coalesce(max(CASE WHEN p.event_type = g.event_type AND p.s = g.s AND p.e = g.e AND p.a = g.a THEN 1 END), 0) AS x1, coalesce(max(CASE WHEN p.event_type = g.event_type AND p.s = g.s AND p.e = g.e THEN 1 END), 0) AS x2,
+    coalesce(max(CASE WHEN p.s = g.s AND p.e = g.e THEN 1 END), 0) AS x3, coalesce(max(CASE WHEN p.event_type = g.event_type THEN 1 END), 0) AS x4
+    FROM (SELECT *, row_number() OVER () AS rid FROM g) g LEFT JOIN p ON p.wnd_id = g.wnd_id GROUP BY ALL)
+  SELECT event_type, CASE WHEN x1 = 1 THEN 'exact' WHEN x2 = 1 THEN 'frame_match_arg_mismatch' WHEN x3 = 1 THEN 'same_trigger_wrong_type' WHEN x4 = 1 THEN 'same_type_wrong_trigger' ELSE 'missing_frame' END AS error, count(*) AS n FROM j GROUP BY ALL""")
+def _(spark, d):
+    return scoring.gold_errors(gold(spark, d), predicted(spark, d)).groupBy("event_type", "error").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("vote_self_consistency", f"SELECT wnd_id, event_type, s, e, a, count(DISTINCT k) AS votes FROM ({samples_sql()}) GROUP BY ALL HAVING count(DISTINCT k) >= 2")
+def _(spark, d):
+    return scoring.vote(samples(spark, d), 2)
+
+
+@query("sample_consensus", f"WITH c AS (SELECT wnd_id, k, count(*) AS sig FROM ({samples_sql()}) GROUP BY ALL), n AS (SELECT wnd_id, sig, count(*) AS n FROM c GROUP BY ALL) SELECT wnd_id, round(max(n) / CAST(sum(n) AS DOUBLE), 9) AS consensus, round(count(*) / CAST(sum(n) AS DOUBLE), 9) AS unique_rate FROM n GROUP BY wnd_id")
+def _(spark, d):
+    return scoring.consensus(samples(spark, d).groupBy("wnd_id", "k").agg(F.count(F.lit(1)).alias("sig")), "wnd_id", "sig")
+
+
+@query("selective_early_exit", f"WITH c AS (SELECT wnd_id, count(*) FILTER (k = 3) AS n3, count(*) FILTER (k = 4) AS n4 FROM ({samples_sql()}) GROUP BY wnd_id) SELECT count(*) AS n_windows, count(*) FILTER (n3 = n4) AS n_exit, round(2 + 6 * (count(*) FILTER (n3 <> n4)) / CAST(count(*) AS DOUBLE), 9) AS mean_paths FROM c")
+def _(spark, d):
+    c = samples(spark, d).groupBy("wnd_id").agg(F.count_if(F.col("k") == 3).alias("n3"), F.count_if(F.col("k") == 4).alias("n4"))
+    return c.agg(F.count(F.lit(1)).alias("n_windows"), F.count_if(F.col("n3") == F.col("n4")).alias("n_exit"), F.round(2 + 6 * F.count_if(F.col("n3") != F.col("n4")) / F.count(F.lit(1)), 9).alias("mean_paths"))
+
+
+# Holdouts, projections, statistics of splits
+
+
+@query("holdout_drop_windows", f"WITH g AS ({GOLD_SQL}) SELECT wnd_id, count(*) AS n_events FROM g WHERE wnd_id NOT IN (SELECT wnd_id FROM g WHERE event_type = 'R:F') GROUP BY wnd_id")
+def _(spark, d):
+    return selection.without_types(windows(gold(spark, d)), UNSEEN).select("wnd_id", F.size("events").cast("long").alias("n_events"))
+
+
+@query("holdout_keep_types", f"WITH g AS ({GOLD_SQL}) SELECT wnd_id, count(*) FILTER (event_type = 'R:F') AS n_events FROM g GROUP BY wnd_id")
+def _(spark, d):
+    return selection.only_types(windows(gold(spark, d)), UNSEEN).select("wnd_id", F.size("events").cast("long").alias("n_events"))
+
+
+@query("split_stats", f"WITH g AS ({GOLD_SQL}), o AS (SELECT o_orderkey, o_custkey FROM orders) SELECT count(DISTINCT o_orderkey) AS n_rows, count(DISTINCT o_custkey) AS n_docs, count(DISTINCT wnd_id) AS n_nonempty, count(DISTINCT event_type) AS n_types, count(wnd_id) AS n_events FROM o LEFT JOIN g ON wnd_id = o_orderkey")
+def _(spark, d):
+    o = read(spark, d, "orders").select("o_orderkey", "o_custkey")
+    per = o.join(gold(spark, d).groupBy("wnd_id").agg(F.count(F.lit(1)).alias("n"), F.collect_set("event_type").alias("types")), o["o_orderkey"] == F.col("wnd_id"), "left")
+    kinds = gold(spark, d).agg(F.count_distinct("event_type").alias("n_types"))
+    return per.agg(F.count_distinct("o_orderkey").alias("n_rows"), F.count_distinct("o_custkey").alias("n_docs"), F.count("n").alias("n_nonempty"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_events")).join(kinds, F.lit(True)).select("n_rows", "n_docs", "n_nonempty", "n_types", "n_events")
+
+
+@query("type_frequency_tiers", f"SELECT event_type, count(*) AS n, CASE WHEN count(*) < 1000 THEN 'ultra_tail' WHEN count(*) < 5000 THEN 'tail' WHEN count(*) < 20000 THEN 'mid' ELSE 'head' END AS tier FROM ({GOLD_SQL}) GROUP BY event_type")
+def _(spark, d):
+    n = gold(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("tier", F.when(F.col("n") < 1000, "ultra_tail").when(F.col("n") < 5000, "tail").when(F.col("n") < 20000, "mid").otherwise("head"))
+
+
+@query("events_vs_windows_by_type", f"SELECT event_type, count(*) FILTER (wnd_id % 10 < 8) AS train_events, count(DISTINCT wnd_id) FILTER (wnd_id % 10 < 8) AS train_windows, count(*) FILTER (wnd_id % 10 >= 8) AS test_events, count(DISTINCT wnd_id) FILTER (wnd_id % 10 >= 8) AS test_windows FROM ({GOLD_SQL}) GROUP BY event_type")
+def _(spark, d):
+    train = F.col("wnd_id") % 10 < 8
+    per = gold(spark, d).groupBy("event_type", "wnd_id").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("event_type").agg(*[f for name, test in (("train", train), ("test", ~train)) for f in (F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).alias(f"{name}_events"), F.count_if(test).alias(f"{name}_windows"))])
+
+
+@query("per_family_best_type", f"WITH n AS (SELECT event_type, split_part(event_type, ':', 1) AS family, count(*) AS n FROM ({GOLD_SQL}) GROUP BY ALL) SELECT family, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY n DESC, event_type) AS r, count(*) OVER (PARTITION BY family) AS f FROM n) WHERE r = 1 AND f >= 2")
+def _(spark, d):
+    n = gold(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).withColumn("family", selection.family(F.col("event_type")))
+    w = Window.partitionBy("family")
+    return n.withColumn("r", F.row_number().over(w.orderBy(F.desc("n"), "event_type"))).withColumn("f", F.count(F.lit(1)).over(w)).where("r = 1 AND f >= 2").select("family", "event_type", "n")
+
+
+@query("role_signatures", f"SELECT sig, count(*) AS n FROM (SELECT wnd_id, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS sig FROM ({GOLD_SQL}) GROUP BY wnd_id) GROUP BY sig")
+def _(spark, d):
+    sig = gold(spark, d).groupBy("wnd_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), "|").alias("sig"))
+    return sig.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("type_counts_ranked", f"SELECT event_type, n, row_number() OVER (ORDER BY n DESC, event_type) AS rank FROM (SELECT event_type, count(*) AS n FROM ({GOLD_SQL}) GROUP BY event_type HAVING count(*) >= 10) ORDER BY rank LIMIT 3")
+def _(spark, d):
+    n = gold(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).where("n >= 10")
+    return n.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "event_type")).cast("long")).where("rank <= 3")
+
+
+# Candidates and recall
+
+CAND = "SELECT o_orderkey AS id, o_custkey AS gold, CAST(1 + (o_orderkey * 13 + o_custkey) % 12 AS BIGINT) AS rank FROM orders"
+
+
+def candidates(spark, d):
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("gold"), (1 + (F.col("o_orderkey") * 13 + F.col("o_custkey")) % 12).alias("rank"))
+
+
+@query("recall_at_k", f"SELECT k, round(avg(CASE WHEN rank <= k THEN 1.0 ELSE 0.0 END), 9) AS recall, count(*) FILTER (rank <= k) AS hits FROM ({CAND}) CROSS JOIN (VALUES (1), (3), (5), (10)) t(k) GROUP BY k")
+def _(spark, d):
+    ks = F.explode(F.array(*map(F.lit, (1, 3, 5, 10))))
+    one = candidates(spark, d).groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
+    return one.select(ks.alias("k"), "rank", "n").groupBy("k").agg(F.round(F.sum(F.when(F.col("rank") <= F.col("k"), F.col("n")).otherwise(0)) / F.sum("n"), 9).alias("recall"), F.sum(F.when(F.col("rank") <= F.col("k"), F.col("n")).otherwise(0)).alias("hits"))
+
+
+@query("rank_buckets", f"SELECT CASE WHEN rank = 1 THEN '1' WHEN rank <= 3 THEN '2-3' WHEN rank <= 5 THEN '4-5' ELSE '6-10' END AS bucket, count(*) AS n, round(avg(rank), 9) AS mean_rank FROM ({CAND}) WHERE rank <= 10 GROUP BY 1")
+def _(spark, d):
+    r = F.col("rank")
+    return candidates(spark, d).where(r <= 10).groupBy(F.when(r == 1, "1").when(r <= 3, "2-3").when(r <= 5, "4-5").otherwise("6-10").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("rank"), 9).alias("mean_rank"))
+
+
+SCHEMA_SQL = "SELECT p_type AS t, list_sort(list_distinct(string_split(lower(p_type), ' '))) AS cues, list_sort(list_distinct(list(p_brand))) AS roles, split_part(p_type, ' ', 1) AS fam FROM part GROUP BY p_type"
+
+
+@query("schema_neighbours", f"""WITH s AS ({SCHEMA_SQL}), j AS (SELECT a.t AS event_type, b.t AS neighbour,
+    0.5::DOUBLE * len(list_intersect(a.cues, b.cues)) / len(list_distinct(list_concat(a.cues, b.cues))) + 0.3::DOUBLE * len(list_intersect(a.roles, b.roles)) / len(list_distinct(list_concat(a.roles, b.roles))) + 0.2::DOUBLE * CAST(a.fam = b.fam AS INT) AS score FROM s a JOIN s b ON a.t <> b.t),
+  r AS (SELECT event_type, neighbour, round(score, 9) AS score FROM j WHERE score > 0)
+  SELECT event_type, neighbour, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY score DESC, neighbour) AS rank FROM r) WHERE rank <= 3""")
+def _(spark, d):
+    p = read(spark, d, "part").groupBy(F.col("p_type").alias("t")).agg(F.collect_set("p_brand").alias("roles"))
+    return selection.neighbours(p.select("t", F.array_distinct(F.split(F.lower("t"), " ")).alias("cues"), "roles", F.substring_index("t", " ", 1).alias("fam")), 3)
+
+
+@query("candidate_containment", f"WITH g AS ({GOLD_SQL}) SELECT wnd_id, bool_and(event_type IN ('A:F', 'N:O', 'R:F')) AS within, count(DISTINCT event_type) FILTER (event_type NOT IN ('A:F', 'N:O', 'R:F')) AS n_missing FROM g GROUP BY wnd_id")
+def _(spark, d):
+    allowed = F.array(*map(F.lit, ("A:F", "N:O", "R:F")))
+    w = windows(gold(spark, d))
+    return w.select("wnd_id", F.forall("events", lambda e: F.array_contains(allowed, e["event_type"])).alias("within"), F.size(F.array_except(F.transform("events", lambda e: e["event_type"]), allowed)).cast("long").alias("n_missing"))
+
+
+@query("abstention_modes", f"WITH g AS ({GOLD_SQL}), c AS (SELECT wnd_id, count(*) AS n, count(*) FILTER (event_type IN ('A:F', 'R:F')) AS k FROM g GROUP BY wnd_id) SELECT CASE WHEN k = n THEN 'gold_present' WHEN k > 0 THEN 'partial_supported' ELSE 'abstain' END AS mode, count(*) AS n_windows, CAST(sum(k) AS BIGINT) AS kept_events FROM c GROUP BY 1")
+def _(spark, d):
+    kept = F.size(F.filter("events", lambda e: e["event_type"].isin("A:F", "R:F")))
+    w = windows(gold(spark, d)).select(kept.alias("k"), F.size("events").alias("n"))
+    return w.groupBy(F.when(F.col("k") == F.col("n"), "gold_present").when(F.col("k") > 0, "partial_supported").otherwise("abstain").alias("mode")).agg(F.count(F.lit(1)).alias("n_windows"), F.sum("k").alias("kept_events"))
+
+
+# Joins
+
+
+@query("join_three_way_keys", "WITH a AS (SELECT o_orderkey AS id FROM orders), b AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_linenumber = 2), c AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_linenumber = 4) SELECT count(a.id) AS n_a, count(b.id) AS n_b, count(c.id) AS n_c, count(CASE WHEN a.id IS NOT NULL AND b.id IS NOT NULL AND c.id IS NOT NULL THEN 1 END) AS n_all FROM a FULL JOIN b USING (id) FULL JOIN c USING (id)")
+def _(spark, d):
+    lines = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), "l_linenumber")
+    sides = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("a").alias("side")).unionByName(lines.where("l_linenumber = 2").select("id", F.lit("b").alias("side"))).unionByName(lines.where("l_linenumber = 4").select("id", F.lit("c").alias("side")))
+    per = sides.groupBy("id").agg(*[F.max(F.when(F.col("side") == s, 1).otherwise(0)).alias(s) for s in "abc"])
+    return per.agg(*[F.sum(s).cast("long").alias(f"n_{s}") for s in "abc"], F.sum(F.col("a") * F.col("b") * F.col("c")).cast("long").alias("n_all"))
+
+
+@query("anti_join_disjoint_by_hash", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 5) ORDER BY sha256('17:' || CAST(o_orderkey AS VARCHAR)) LIMIT 100")
+def _(spark, d):
+    used = read(spark, d, "lineitem").where("l_linenumber = 5").select(F.col("l_orderkey").alias("id"))
+    return selection.first_by_hash(read(spark, d, "orders").select(F.col("o_orderkey").alias("id")).join(used, "id", "left_anti"), "id", 100, "17")
+
+
+@query("join_last_row_wins", "SELECT l_orderkey AS id, max(l_linenumber) AS line, arg_max(l_partkey, l_linenumber * 1000000 + l_partkey) AS part FROM lineitem GROUP BY l_orderkey")
+def _(spark, d):
+    return read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_linenumber").alias("line"), F.max_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("part"))
+
+
+@query("interval_containment", "WITH b AS (SELECT min(ts) AS t0 FROM events), x AS (SELECT event_id, user_id, CAST(floor((epoch(ts) - epoch(t0)) / 3600) AS BIGINT) AS w FROM events, b) SELECT w, count(*) AS n, count(DISTINCT user_id) AS users FROM x GROUP BY w")
+def _(spark, d):
+    e = read(spark, d, "events")
+    e = e.select("event_id", "user_id", e["ts"].cast("timestamp").alias("ts"))
+    t0 = e.agg(F.min("ts").alias("t0"))
+    sec = F.unix_micros("ts") / 1e6 - F.unix_micros("t0") / 1e6
+    x = e.join(F.broadcast(t0), F.lit(True)).select(F.floor(sec / 3600).alias("w"), "user_id")
+    return x.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
+
+
+@query("pair_verification", f"WITH {BOTH}, a AS (SELECT wnd_id, count(*) AS n FROM g GROUP BY wnd_id), b AS (SELECT wnd_id, count(*) AS m FROM p GROUP BY wnd_id) SELECT count(*) FILTER (b.wnd_id IS NULL) AS missing, count(*) FILTER (a.wnd_id IS NULL) AS added, count(*) FILTER (n <> m) AS differ, count(*) FILTER (n = m) AS same FROM a FULL JOIN b USING (wnd_id)")
+def _(spark, d):
+    a, b = gold(spark, d).groupBy("wnd_id").agg(F.count(F.lit(1)).alias("n")), predicted(spark, d).groupBy("wnd_id").agg(F.count(F.lit(1)).alias("m"))
+    return a.join(b, "wnd_id", "full").agg(F.count_if(F.col("m").isNull()).alias("missing"), F.count_if(F.col("n").isNull()).alias("added"), F.count_if(F.col("n") != F.col("m")).alias("differ"), F.count_if(F.col("n") == F.col("m")).alias("same"))
+
+
+# Sampling and top-k
+
+
+@query("stable_folds", "SELECT CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8))::BIGINT % 5 AS BIGINT) AS fold, count(*) AS n FROM orders GROUP BY 1")
+def _(spark, d):
+    return read(spark, d, "orders").groupBy(selection.fold(F.col("o_orderkey")).alias("fold")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("hash_sample_per_stratum", "SELECT o_orderstatus AS stratum, o_orderkey AS id FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY sha256('3:' || CAST(o_orderkey AS VARCHAR))) AS r FROM orders) WHERE r <= 20")
+def _(spark, d):
+    return selection.first_by_hash_per(read(spark, d, "orders").select(F.col("o_orderstatus").alias("stratum"), F.col("o_orderkey").alias("id")), "stratum", "id", 20, "3")
+
+
+@query("doc_diverse_pick", "SELECT o_custkey AS doc, o_orderstatus AS category, arg_min(o_orderkey, sha256('9:' || CAST(o_orderkey AS VARCHAR))) AS id FROM orders GROUP BY ALL")
+def _(spark, d):
+    return read(spark, d, "orders").groupBy(F.col("o_custkey").alias("doc"), F.col("o_orderstatus").alias("category")).agg(F.min_by("o_orderkey", selection.stable_order("9", F.col("o_orderkey"))).alias("id"))
+
+
+@query("route_top_budget", f"SELECT id, score FROM ({RUN_SQL}) ORDER BY score DESC, id DESC LIMIT (SELECT CAST(round_even(count(*) * 0.12, 0) AS BIGINT) FROM orders)")
+def _(spark, d):
+    return selection.top_by_budget(run_table(spark, d).select("id", "score"), "score", "id", 0.12)
+
+
+@query("route_oracle_budget", f"SELECT id, gain FROM (SELECT * FROM ({RUN_SQL}) ORDER BY gain DESC, id DESC LIMIT (SELECT CAST(round_even(count(*) * 0.3, 0) AS BIGINT) FROM orders)) WHERE gain > 0")
+def _(spark, d):
+    return selection.top_by_budget(run_table(spark, d).select("id", "gain"), "gain", "id", 0.3).where("gain > 0")
+
+
+@query("route_threshold_sweep", f"WITH r AS ({RUN_SQL}), s AS (SELECT score, sum(y) AS pos, count(*) AS n FROM r GROUP BY score), c AS (SELECT score AS threshold, sum(n) OVER w AS routed, sum(pos) OVER w AS hits, sum(pos) OVER () AS allp FROM s WINDOW w AS (ORDER BY score DESC)) SELECT threshold, CAST(routed AS BIGINT) AS routed, CAST(hits AS BIGINT) AS hits, round(CAST(hits AS DOUBLE) / CAST(routed AS DOUBLE), 9) AS precision, round(CAST(hits AS DOUBLE) / CAST(greatest(allp, 1) AS DOUBLE), 9) AS recall FROM c")
+def _(spark, d):
+    return selection.threshold_sweep(run_table(spark, d), "y", "score")
+
+
+AUC_RUN = RUN_SQL
+
+
+@query("rank_auc", f"WITH r AS ({RUN_SQL}), s AS (SELECT score, sum(y) AS pos, sum(1 - y) AS neg FROM r GROUP BY score), c AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s) SELECT round(CAST(sum(pos * (CAST(below AS DOUBLE) + CAST(neg AS DOUBLE) / 2)) AS DOUBLE) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)), 9) AS auc, CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg FROM c")
+def _(spark, d):
+    return selection.auc(run_table(spark, d), "y", "score")
+
+
+@query("rank_average_precision", f"WITH r AS (SELECT y, row_number() OVER (ORDER BY score DESC, id DESC) AS rank, sum(y) OVER (ORDER BY score DESC, id DESC ROWS UNBOUNDED PRECEDING) AS hits FROM ({RUN_SQL})) SELECT round(avg(CAST(hits AS DOUBLE) / rank), 9) AS ap, count(*) AS n_pos FROM r WHERE y = 1")
+def _(spark, d):
+    return selection.average_precision(run_table(spark, d), "y", "score", "id")
+
+
+@query("utility_labels", f"SELECT CASE WHEN m > 0.5 THEN 'stable_reason' WHEN m < -0.5 THEN 'stable_direct' ELSE 'ambiguous' END AS label, count(*) AS n FROM (SELECT doc, avg(gain) AS m FROM ({RUN_SQL}) GROUP BY doc) GROUP BY 1")
+def _(spark, d):
+    m = run_table(spark, d).groupBy("doc").agg(F.avg("gain").alias("m"))
+    return m.groupBy(F.when(F.col("m") > 0.5, "stable_reason").when(F.col("m") < -0.5, "stable_direct").otherwise("ambiguous").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Statistics
+
+
+@query("mean_std_by_group", "SELECT l_returnflag AS grp, count(*) AS n, round(avg(l_quantity), 7) AS mean, round(stddev_pop(l_quantity), 7) AS std_pop, round(stddev_samp(l_quantity), 7) AS std_sample, min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem GROUP BY 1")
+def _(spark, d):
+    q = F.col("l_quantity")
+    return read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(q), 7).alias("mean"), F.round(F.stddev_pop(q), 7).alias("std_pop"), F.round(F.stddev_samp(q), 7).alias("std_sample"), F.min(q).alias("low"), F.max(q).alias("high"))
+
+
+@query("order_statistic_quantiles", "WITH n AS (SELECT count(*) AS n FROM orders), r AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) - 1 AS i FROM orders) SELECT q, v FROM r, n, (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE)) t(q) WHERE i = CAST(round_even((n - 1) * q, 0) AS BIGINT)")
+def _(spark, d):
+    rows = read(spark, d, "orders").select(F.col("o_totalprice").alias("v"))
+    n = rows.count()
+    at = {round((n - 1) * q): q for q in (0.1, 0.5, 0.9)}
+    w = Window.orderBy("v")
+    pick = F.create_map(*[x for i, q in at.items() for x in (F.lit(i), F.lit(q))])
+    return rows.select("v", (F.row_number().over(w) - 1).alias("i")).where(F.col("i").isin(list(at))).select(pick[F.col("i")].alias("q"), "v")
+
+
+@query("upper_median_buckets", "WITH r AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) - 1 AS i, count(*) OVER () AS n FROM orders), t AS (SELECT v AS cutoff FROM r WHERE i = n // 2) SELECT CASE WHEN o_totalprice >= cutoff THEN 'high' ELSE 'low' END AS bucket, count(*) AS n FROM orders, t GROUP BY 1")
+def _(spark, d):
+    rows = read(spark, d, "orders").select(F.col("o_totalprice").alias("v"))
+    n = rows.count()
+    cutoff = rows.select("v", (F.row_number().over(Window.orderBy("v")) - 1).alias("i")).where(F.col("i") == n // 2).select(F.col("v").alias("cutoff"))
+    return rows.join(F.broadcast(cutoff), F.lit(True)).groupBy(F.when(F.col("v") >= F.col("cutoff"), "high").otherwise("low").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("wilcoxon_signed_rank", f"""WITH d AS (SELECT gain * 10 + id % 4 AS x FROM ({RUN_SQL})), z AS (SELECT x, abs(x) AS m FROM d WHERE x <> 0), c AS (SELECT m, count(*) AS t, sum(CASE WHEN x > 0 THEN 1 ELSE 0 END) AS up FROM z GROUP BY m),
+  r AS (SELECT *, CAST(sum(t) OVER (ORDER BY m) AS DOUBLE) - t / 2.0::DOUBLE + 0.5::DOUBLE AS rank FROM c), s AS (SELECT CAST(sum(t) AS DOUBLE) AS n, sum(up * rank) AS w, sum(CAST(t AS DOUBLE) * t * t - t) AS ties FROM r)
+  SELECT CAST(n AS BIGINT) AS n, round(w, 4) AS w_plus, round((w - n * (n + 1) / 4 - 0.5::DOUBLE) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 7) AS z FROM s""")
+def _(spark, d):
+    x = run_table(spark, d).select((F.col("gain") * 10 + F.col("id") % 4).alias("x")).where("x <> 0")
+    c = x.groupBy(F.abs("x").alias("m")).agg(F.count(F.lit(1)).alias("t"), F.sum((F.col("x") > 0).cast("long")).alias("up"))
+    rank = F.sum("t").over(Window.orderBy("m")) - F.col("t") / 2.0 + 0.5
+    s = c.withColumn("rank", rank).agg(F.sum("t").cast("double").alias("n"), F.sum(F.col("up") * F.col("rank")).alias("w"), F.sum(F.pow(F.col("t").cast("double"), 3) - F.col("t")).alias("ties"))
+    n = F.col("n")
+    return s.select(n.cast("long").alias("n"), F.round("w", 4).alias("w_plus"), F.round((F.col("w") - n * (n + 1) / 4 - 0.5) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48), 7).alias("z"))
+
+
+BOOT = "CAST(('0x' || substr(md5(concat(b, ':', wnd_id)), 1, 8))::BIGINT AS DOUBLE) / 4294967296"
+
+
+@query("paired_bootstrap_poisson", f"""WITH s AS (SELECT wnd_id, tp, n_pred, n_gold FROM ({s1_sql('event_type, s, e')})), u AS (SELECT b, tp, n_pred, n_gold, {BOOT} AS x FROM s, generate_series(1, 20) t(b)),
+  w AS (SELECT *, CASE WHEN x < 0.36787944117144233 THEN 0 WHEN x < 0.7357588823428847 THEN 1 WHEN x < 0.9196986029286058 THEN 2 WHEN x < 0.9810118431238462 THEN 3 ELSE 4 END AS k FROM u),
+  m AS (SELECT b, CAST(sum(k * tp) AS DOUBLE) AS tp, CAST(sum(k * n_pred) AS DOUBLE) AS np, CAST(sum(k * n_gold) AS DOUBLE) AS ng FROM w GROUP BY b)
+  SELECT b, round(2 * tp / (np + ng), 9) AS f1 FROM m""")
+def _(spark, d):
+    s = scoring.window_f1(gold(spark, d), predicted(spark, d))
+    u = s.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(20).cast("long"))).alias("b"))
+    x = F.conv(F.substring(F.md5(F.concat("b", F.lit(":"), "wnd_id").cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296
+    k = F.when(x < 0.36787944117144233, 0).when(x < 0.7357588823428847, 1).when(x < 0.9196986029286058, 2).when(x < 0.9810118431238462, 3).otherwise(4)
+    m = u.withColumn("k", k).groupBy("b").agg(*[F.sum(F.col("k") * F.col(c)).cast("double").alias(c) for c in ("tp", "n_pred", "n_gold")])
+    return m.select("b", F.round(2 * F.col("tp") / (F.col("n_pred") + F.col("n_gold")), 9).alias("f1"))
+
+
+@query("gaussian_nb_fit", f"SELECT y, count(*) AS n, round((count(*) + 1.0::DOUBLE) / ((SELECT count(*) FROM orders) + 2), 9) AS prior, round(avg(score), 9) AS mean, round(greatest(var_pop(score), 0.0001), 9) AS var FROM ({RUN_SQL}) GROUP BY y")
+def _(spark, d):
+    r = run_table(spark, d)
+    every = Window.partitionBy(F.lit(0))
+    g = r.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("m"), F.var_pop("score").alias("v"))
+    return g.select("y", "n", F.round((F.col("n") + 1.0) / (F.sum("n").over(every) + 2), 9).alias("prior"), F.round("m", 9).alias("mean"), F.round(F.greatest("v", F.lit(0.0001)), 9).alias("var"))
+
+
+@query("linear_z_weights", f"SELECT round((avg(score) FILTER (y = 1) - avg(score) FILTER (y = 0)) / greatest(stddev_pop(score), 1e-12), 8) AS weight, round(corr(score, gain), 8) AS correlation FROM ({RUN_SQL})")
+def _(spark, d):
+    y = F.col("y")
+    return run_table(spark, d).agg(F.round((F.avg(F.when(y == 1, F.col("score"))) - F.avg(F.when(y == 0, F.col("score")))) / F.greatest(F.stddev_pop("score"), F.lit(1e-12)), 8).alias("weight"), F.round(F.corr("score", "gain"), 8).alias("correlation"))
+
+
+@query("min_max_normalised", "SELECT p_partkey AS id, round(CASE WHEN hi - lo < 1e-12 THEN 0 ELSE (p_retailprice - lo) / (hi - lo) END, 9) AS v FROM part, (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part)")
+def _(spark, d):
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_retailprice")
+    b = p.agg(F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi"))
+    return p.join(F.broadcast(b), F.lit(True)).select("id", F.round(F.when(F.col("hi") - F.col("lo") < 1e-12, 0.0).otherwise((F.col("p_retailprice") - F.col("lo")) / (F.col("hi") - F.col("lo"))), 9).alias("v"))
+
+
+# Integrity
+
+
+@query("duplicate_texts", "SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
+def _(spark, d):
+    docs = read(spark, d, "documents")
+    return docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+@query("conflicting_duplicates", "SELECT sha256(text) AS digest, count(DISTINCT source) AS n_sources, count(DISTINCT lang) AS n_langs FROM documents GROUP BY text HAVING count(DISTINCT source) > 1")
+def _(spark, d):
+    return read(spark, d, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count_distinct("source").alias("n_sources"), F.count_distinct("lang").alias("n_langs")).where("n_sources > 1")
+
+
+@query("exposure_counts", f"SELECT event_type, count(DISTINCT wnd_id) AS n_windows, count(*) AS n_events FROM ({GOLD_SQL}) WHERE event_type IN ('R:F', 'A:F') GROUP BY event_type")
+def _(spark, d):
+    per = gold(spark, d).where(F.col("event_type").isin("R:F", "A:F")).groupBy("event_type", "wnd_id").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_windows"), F.sum("n").alias("n_events"))
+
+
+@query("row_digests", "SELECT conv_id, sha256(string_agg(concat(turn, '|', role, '|', text), chr(10) ORDER BY turn, role, text)) AS digest, count(*) AS n FROM conversations GROUP BY conv_id")
+def _(spark, d):
+    line = F.concat_ws("|", F.col("turn").cast("string"), "role", "text")
+    rows = F.array_sort(F.collect_list(F.struct("turn", "role", "text", line.alias("line"))))
+    g = read(spark, d, "conversations").groupBy("conv_id").agg(rows.alias("rows"), F.count(F.lit(1)).alias("n"))
+    return g.select("conv_id", F.sha2(F.concat_ws("\n", F.transform("rows", lambda r: r["line"])), 256).alias("digest"), "n")
+
+
+@query("length_audit", "SELECT lang, max(len(string_split(text, ' '))) AS longest, count(*) FILTER (len(string_split(text, ' ')) > 1000) AS over FROM documents GROUP BY lang")
+def _(spark, d):
+    n = F.size(F.split("text", " ", -1))
+    return read(spark, d, "documents").groupBy("lang").agg(F.max(n).cast("long").alias("longest"), F.count_if(n > 1000).alias("over"))
+
+
+@query("role_turn_cardinality", "SELECT role, count(*) AS n, count(DISTINCT conv_id) AS n_convs, max(turn) AS last_turn FROM conversations GROUP BY role")
+def _(spark, d):
+    return read(spark, d, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("conv_id").alias("n_convs"), F.max("turn").alias("last_turn"))
+
+
+# Text functions
+
+
+@query("text_section_extraction", "SELECT page_id, CASE WHEN instr(html, '<title>') > 0 THEN trim(split_part(substr(html, instr(html, '<title>') + 7), '</title>', 1)) END AS title FROM pages")
+def _(spark, d):
+    return read(spark, d, "pages").select("page_id", tx.section(F.col("html"), "<title>", "</title>").alias("title"))
+
+
+@query("text_token_sets", "SELECT item_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))), ' ') AS tokens FROM benchmark")
+def _(spark, d):
+    return read(spark, d, "benchmark").select("item_id", F.array_join(tx.tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query("text_json_props", "SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY event_type")
+def _(spark, d):
+    k = F.from_json("props", "k long")["k"]
+    return read(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("total"))
+
+
+@query("text_humanised_types", "SELECT DISTINCT p_type AS t, regexp_replace(replace(p_type, '-', ' '), '([a-z0-9])([A-Z])', '\\1 \\2', 'g') AS name FROM part")
+def _(spark, d):
+    return read(spark, d, "part").select(F.col("p_type").alias("t")).distinct().select("t", tx.humanize(F.col("t")).alias("name"))
+
+
+@query("text_norm_tokens", "SELECT c_custkey AS id, regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS name FROM customer")
+def _(spark, d):
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("id"), tx.norm_token(F.col("c_name")).alias("name"))
+
+
+@query("text_leak_terms", "SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'the')")
+def _(spark, d):
+    return read(spark, d, "conversations").where(F.contains(F.lower("text"), F.lit("the"))).select("conv_id", "turn")
+
+
+@query("surface_spans", "WITH t AS (SELECT item_id, string_split(lower(text), ' ') AS w FROM benchmark) SELECT item_id, len(list_filter(w, lambda x: x = w[1])) AS n_first FROM t")
+def _(spark, d):
+    w = F.split(F.lower("text"), " ", -1)
+    return read(spark, d, "benchmark").select("item_id", F.size(tx.find_spans(w, F.slice(w, 1, 1))).cast("long").alias("n_first"))
