@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -201,6 +202,18 @@ class U64Map:
             self.keys[slot[done]] = keys[left[done]]
             left, slot = left[~done], (slot[~done] + 1) & self.mask
 
+    def __getstate__(self) -> tuple[int, bytes]:
+        """What is sent to tasks: the keys alone, by byte planes of their differences, compressed."""
+        keys = np.zeros(self.size, U64)
+        full = self.at >= 0
+        keys[self.at[full]] = self.keys[full]
+        steps = np.diff(keys, prepend=U64(0))
+        return self.size, zlib.compress(np.ascontiguousarray(steps.view(U8).reshape(-1, 8).T).tobytes(), 1)
+
+    def __setstate__(self, state: tuple[int, bytes]) -> None:
+        planes = np.frombuffer(zlib.decompress(state[1]), U8).reshape(8, state[0])
+        self.__init__(np.cumsum(np.ascontiguousarray(planes.T).view(U64).ravel(), dtype=U64))
+
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).astype(np.int64)
 
