@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 
 def extract_tag(text: Column, tag: str) -> Column:
@@ -48,7 +49,7 @@ def is_json_object(text: Column) -> Column:
     return F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def balanced_objects(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The complete top-level {...} objects of a text, brackets in strings aside: what a truncated output still holds."""
 
@@ -71,7 +72,7 @@ def balanced_objects(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(scan)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repair_json_prefix(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The longest prefix, at most 3,000 characters shorter, that parses as JSON; null if none does."""
 
