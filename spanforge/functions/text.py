@@ -35,8 +35,9 @@ def norm_token(token: Column) -> Column:
 
 
 def humanize(name: Column) -> Column:
-    """Hyphens to spaces and a space between a lower-case letter or digit and a capital."""
-    return F.regexp_replace(F.replace(name, F.lit("-"), F.lit(" ")), "([a-z0-9])([A-Z])", "$1 $2")
+    """Hyphens to spaces, a space before each capital but the first character, runs of white space to one."""
+    spaced = F.regexp_replace(F.replace(name, F.lit("-"), F.lit(" ")), "([A-Z])", " $1")
+    return F.trim(F.regexp_replace(spaced, r"\s+", " "))
 
 
 def unescape(text: Column) -> Column:

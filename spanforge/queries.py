@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .functions import render, spans
 from .functions import text as tx
-from .operators import scoring, selection
+from .operators import difficulty, scoring, selection
 from .plans.roles import GOLD_SQL, UNSEEN, gold, predicted, predicted_sql, read, samples, samples_sql, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -458,7 +459,7 @@ def _(spark, d):
     return read(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("total"))
 
 
-@query("text_humanised_types", "SELECT DISTINCT p_type AS t, regexp_replace(replace(p_type, '-', ' '), '([a-z0-9])([A-Z])', '\\1 \\2', 'g') AS name FROM part")
+@query("text_humanised_types", "SELECT DISTINCT p_type AS t, trim(regexp_replace(regexp_replace(replace(p_type, '-', ' '), '([A-Z])', ' \\1', 'g'), '\\s+', ' ', 'g')) AS name FROM part")
 def _(spark, d):
     return read(spark, d, "part").select(F.col("p_type").alias("t")).distinct().select("t", tx.humanize(F.col("t")).alias("name"))
 
@@ -477,3 +478,90 @@ def _(spark, d):
 def _(spark, d):
     w = F.split(F.lower("text"), " ", -1)
     return read(spark, d, "benchmark").select("item_id", F.size(tx.find_spans(w, F.slice(w, 1, 1))).cast("long").alias("n_first"))
+
+
+# Schema cards, prompts, targets, spans, difficulty
+
+TYPES_SQL = "SELECT * FROM (VALUES ('A:F', ['r0', 'r1'], ['accept', 'final']), ('N:O', ['r1', 'r2', 'r3'], ['new', 'open']), ('N:F', ['r1', 'r2'], ['new', 'final']), ('R:F', ['r0', 'r3'], ['return', 'final'])) t(event_type, roles, cues)"
+CARD_SQL = "concat('Event type: ', event_type, chr(10), 'Definition: kind ', lower(event_type), chr(10), 'Trigger cues: ', array_to_string(cues, ', '), chr(10), 'Core roles: ', array_to_string(roles, ', '))"
+ASKED_SQL = "SELECT o_orderkey AS wnd_id, CASE WHEN o_orderkey % 2 = 0 THEN ['A:F', 'N:O'] ELSE ['R:F', 'N:F', 'A:F'] END AS candidates, concat(o_orderstatus, ' ', o_orderpriority) AS text FROM orders"
+
+
+def types(spark: SparkSession) -> DataFrame:
+    return spark.sql(TYPES_SQL.replace("[", "array(").replace("]", ")"))
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders")
+    listed = lambda *xs: F.array(*map(F.lit, xs))
+    return o.select(F.col("o_orderkey").alias("wnd_id"), F.when(F.col("o_orderkey") % 2 == 0, listed("A:F", "N:O")).otherwise(listed("R:F", "N:F", "A:F")).alias("candidates"), F.concat("o_orderstatus", F.lit(" "), "o_orderpriority").alias("text"))
+
+
+def cards(spark: SparkSession) -> DataFrame:
+    return types(spark).select("event_type", render.card(F.col("event_type"), F.concat(F.lit("kind "), F.lower("event_type")), F.col("cues"), F.col("roles")).alias("document"))
+
+
+@query("render_schema_documents", f"SELECT event_type, {CARD_SQL} AS document FROM ({TYPES_SQL})")
+def _(spark, d):
+    return cards(spark)
+
+
+@query("render_prompts", f"""WITH w AS ({ASKED_SQL}), c AS (SELECT event_type, {CARD_SQL} AS document FROM ({TYPES_SQL})), u AS (SELECT wnd_id, text, candidates, generate_subscripts(candidates, 1) AS i FROM w),
+  k AS (SELECT wnd_id, string_agg(concat('[', i, '] ', document), chr(10) || chr(10) ORDER BY i) AS cards FROM u JOIN c ON c.event_type = candidates[i] GROUP BY wnd_id)
+  SELECT wnd_id, concat('Text:', chr(10), text, chr(10), chr(10), 'Tokens:', chr(10), text, chr(10), chr(10), 'Candidate event types:', chr(10), array_to_string(candidates, ', '), chr(10), chr(10), 'Schema cards:', chr(10), cards, chr(10), chr(10), 'Return JSON only.') AS prompt FROM w JOIN k USING (wnd_id)""")
+def _(spark, d):
+    w = asked(spark, d).withColumn("tokens", F.split("text", " "))
+    return render.prompts(w, cards(spark)).select("wnd_id", "prompt")
+
+
+@query("render_line_targets", f"""WITH g AS ({GOLD_SQL}), l AS (SELECT wnd_id, string_agg(concat(event_type, ' || trigger: t', s, ' || r', a % 4, ': x', a), chr(10) ORDER BY s, event_type, a) AS target FROM g GROUP BY wnd_id)
+  SELECT o_orderkey AS wnd_id, coalesce(target, 'NONE') AS target FROM orders LEFT JOIN l ON wnd_id = o_orderkey""")
+def _(spark, d):
+    argument = F.struct(F.concat(F.lit("r"), (F.col("a") % 4).cast("string")).alias("role"), F.concat(F.lit("x"), F.col("a").cast("string")).alias("text"))
+    event = F.struct("s", "event_type", "a", F.concat(F.lit("t"), F.col("s").cast("string")).alias("trigger"), F.array(argument).alias("arguments"))
+    w = gold(spark, d).groupBy("wnd_id").agg(F.array_sort(F.collect_list(event)).alias("events"))
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+    return o.join(w, F.col("id") == F.col("wnd_id"), "left").select(F.col("id").alias("wnd_id"), render.line_target(F.col("events")).alias("target"))
+
+
+@query("recover_spans", """WITH p AS (SELECT p_partkey AS id, string_split(concat(p_type, ' ', p_name, ' made by ', p_brand, ' as ', p_type), ' ') AS w, p_size % 3 AS k, len(string_split(p_name, ' ')) AS m, coalesce(list_position(string_split(lower(p_name), ' '), lower(p_type)), 0) AS j FROM part)
+  SELECT id, 'type' AS mention, CASE k WHEN 0 THEN 0 WHEN 1 THEN m + 5 ELSE j END AS s, CASE k WHEN 0 THEN 1 WHEN 1 THEN m + 6 ELSE j + 1 END AS e, CASE WHEN k = 0 THEN 'first_surface_fallback' WHEN k = 1 OR j > 0 THEN 'surface_inside_evidence' ELSE 'nearest_surface_to_evidence' END AS method FROM p
+  UNION ALL SELECT id, 'brand', m + 3, m + 4, CASE k WHEN 0 THEN 'unique_surface' ELSE 'nearest_surface_to_evidence' END FROM p""")
+def _(spark, d):
+    p, k = read(spark, d, "part"), F.col("p_size") % 3
+    evidence = {"type": F.when(k == 0, "absent words").when(k == 1, F.concat(F.lit("as "), "p_type")).otherwise(F.col("p_name")), "brand": F.when(k == 0, "absent words").otherwise(F.col("p_name"))}
+    surface = {"type": F.col("p_type"), "brand": F.replace("p_brand", F.lit("#"), F.lit(" - "))}
+    mentions = F.explode(F.array(*[F.struct(F.lit(x).alias("mention"), surface[x].alias("surface"), evidence[x].alias("evidence")) for x in surface])).alias("x")
+    rows = p.select(F.col("p_partkey").alias("id"), F.split(F.concat_ws(" ", "p_type", "p_name", F.lit("made by"), "p_brand", F.lit("as"), "p_type"), " ").alias("tokens"), mentions)
+    found = rows.select("id", "x.mention", spans.chosen_span(spans.compact_spans(F.col("tokens"), F.col("x.surface")), spans.compact_spans(F.col("tokens"), F.col("x.evidence"))).alias("f"))
+    return found.select("id", "mention", F.col("f.s").cast("long").alias("s"), F.col("f.e").cast("long").alias("e"), "f.method")
+
+
+PAIRS_SQL = f"""SELECT x.event_type, y.event_type AS other, 10.0::DOUBLE * CAST(x.event_type[1] = y.event_type[1] AS INT) + 3.0::DOUBLE * len(list_intersect(x.roles, y.roles)) / len(list_distinct(list_concat(x.roles, y.roles)))
+  + 1.0::DOUBLE * len(list_intersect(x.cues, y.cues)) / len(list_distinct(list_concat(x.cues, y.cues))) AS confusion FROM ({TYPES_SQL}) x JOIN ({TYPES_SQL}) y ON x.event_type <> y.event_type"""
+
+
+@query("confusable_types", f"SELECT event_type, other, round(confusion, 9) AS confusion FROM ({PAIRS_SQL}) WHERE confusion > 0")
+def _(spark, d):
+    return difficulty.confusable_types(types(spark)).withColumn("confusion", F.round("confusion", 9))
+
+
+ROUNDED = ["type_rarity", "signature_rarity", "role_density", "multi", "confusion", "core_density", "core_absence", "confrole", "roleconf", "hardconf"]
+
+
+@query("window_difficulty", f"""WITH g AS (SELECT *, [concat('r', a % 4), concat('r', (a // 4) % 4)] AS roles FROM ({GOLD_SQL})), k AS (SELECT *, concat(event_type, '::', array_to_string(list_sort(list_distinct(roles)), '|')) AS sig FROM g),
+  tn AS (SELECT event_type, count(*) AS n FROM k GROUP BY 1), sn AS (SELECT sig, count(*) AS n FROM k GROUP BY 1),
+  tr AS (SELECT event_type, 1 - ln(1 + n) / ln(1 + (SELECT max(n) FROM tn)) AS x FROM tn), sr AS (SELECT sig, 1 - ln(1 + n) / ln(1 + (SELECT max(n) FROM sn)) AS x FROM sn),
+  r AS (SELECT k.*, coalesce(t.roles, []) AS core, tr.x AS xt, sr.x AS xs FROM k LEFT JOIN ({TYPES_SQL}) t USING (event_type) JOIN tr USING (event_type) JOIN sr USING (sig)),
+  p AS (SELECT wnd_id, max(xt) AS type_rarity, max(xs) AS signature_rarity, CAST(sum(len(list_intersect(core, roles))) AS DOUBLE) / nullif(sum(len(core)), 0) AS core_density, CAST(sum(len(core) - len(list_intersect(core, roles))) AS DOUBLE) / nullif(sum(len(core)), 0) AS core_absence,
+    least(sum(len(roles)) / 6.0::DOUBLE, 1.0) AS role_density, CASE WHEN count(*) > 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS multi FROM r GROUP BY wnd_id),
+  c AS (SELECT a.wnd_id, max(confusion) AS confusion FROM ({ASKED_SQL}) a JOIN g ON g.wnd_id = a.wnd_id JOIN ({PAIRS_SQL}) q ON q.event_type = g.event_type AND list_contains(candidates, q.other) GROUP BY a.wnd_id),
+  o AS (SELECT o_orderkey AS wnd_id, coalesce(type_rarity, 0) AS type_rarity, coalesce(signature_rarity, 0) AS signature_rarity, coalesce(core_density, 0) AS core_density, coalesce(core_absence, 0) AS core_absence, coalesce(role_density, 0) AS role_density, coalesce(multi, 0) AS multi, coalesce(confusion, 0) AS confusion
+    FROM orders LEFT JOIN p ON p.wnd_id = o_orderkey LEFT JOIN c ON c.wnd_id = o_orderkey)
+  SELECT wnd_id, {", ".join(f"round({x}, 7) AS {x}" for x in ROUNDED[:7])}, round(0.65::DOUBLE * confusion / 14 + 0.35::DOUBLE * signature_rarity, 7) AS confrole,
+    round(0.35::DOUBLE * confusion / 14 + 0.30::DOUBLE * signature_rarity + 0.20::DOUBLE * core_density + 0.15::DOUBLE * multi, 7) AS roleconf,
+    round(0.35::DOUBLE * confusion / 14 + 0.20::DOUBLE * signature_rarity + 0.20::DOUBLE * role_density + 0.15::DOUBLE * multi + 0.10::DOUBLE * core_absence, 7) AS hardconf FROM o""")
+def _(spark, d):
+    role = lambda x: F.concat(F.lit("r"), x.cast("long").cast("string"))
+    events = gold(spark, d).withColumn("roles", F.array(role(F.col("a") % 4), role(F.floor(F.col("a") / 4) % 4)))
+    return difficulty.window_difficulty(events, asked(spark, d), types(spark)).withColumns({x: F.round(x, 7) for x in ROUNDED})

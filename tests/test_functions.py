@@ -77,3 +77,30 @@ def test_stream(spark, tmp_path):
     q = ingest.deduplicated(stream, "id", "ts").writeStream.format("memory").queryName("seen").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination()
     assert spark.table("seen").count() == 2
+
+
+def test_compact_and_chosen_spans(spark):
+    from spanforge.functions import spans
+
+    rows = [
+        (["The", "anti", "-", "tank", "gun", "fired", "."], "anti-tank", "gun fired", (1, 4, "nearest_surface_to_evidence")),
+        (["a", "b", "a", "b"], "A b", "", (0, 2, "first_surface_fallback")),
+        (["a", "b", "a", "b", "c"], "a", "a b c", (2, 3, "surface_inside_evidence")),
+        (["x"], "?", "x", (None, None, "none")),
+        ([], "x", "x", (None, None, "none")),
+        (["one", ".", "two"], "Two", "none here", (2, 3, "unique_surface")),
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "t array<string>, x string, v string").coalesce(1)
+    got = df.select(spans.chosen_span(spans.compact_spans(F.col("t"), F.col("x")), spans.compact_spans(F.col("t"), F.col("v"))).alias("f")).collect()
+    assert [tuple(r.f) for r in got] == [r[3] for r in rows]
+
+
+def test_line_target_and_missing_card(spark):
+    from spanforge.functions import render
+
+    df = spark.sql("SELECT array(named_struct('event_type', 'Life:Die', 'trigger', 'died', 'arguments', array(named_struct('role', 'Victim', 'text', 'he')))) AS e UNION ALL SELECT null")
+    assert {r.t for r in df.select(render.line_target(F.col("e")).alias("t")).collect()} == {"Life:Die || trigger: died || Victim: he", "NONE"}
+    schema = spark.sql("SELECT 'A' AS event_type, 'card' AS document")
+    asked = spark.sql("SELECT 'x' AS text, array('x') AS tokens, array('B') AS candidates")
+    with pytest.raises(Exception, match="no card for B"):
+        render.prompts(asked, schema).collect()
