@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from .functions import render, spans
 from .functions import text as tx
-from .operators import difficulty, scoring, selection
+from .operators import difficulty, labels, learning, scoring, selection
 from .plans.roles import GOLD_SQL, UNSEEN, gold, predicted, predicted_sql, read, samples, samples_sql, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -565,3 +565,120 @@ def _(spark, d):
     role = lambda x: F.concat(F.lit("r"), x.cast("long").cast("string"))
     events = gold(spark, d).withColumn("roles", F.array(role(F.col("a") % 4), role(F.floor(F.col("a") / 4) % 4)))
     return difficulty.window_difficulty(events, asked(spark, d), types(spark)).withColumns({x: F.round(x, 7) for x in ROUNDED})
+
+
+# Small models, route labels, balancing, checks
+
+MODEL_SQL = "SELECT l_orderkey AS id, CAST(l_quantity AS DOUBLE) AS x1, CAST(l_linenumber AS DOUBLE) AS x2, CAST(l_suppkey % 3 = 0 AS BIGINT) AS y FROM lineitem"
+
+
+def model_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "lineitem")
+    return rows.select(F.col("l_orderkey").alias("id"), F.col("l_quantity").cast("double").alias("x1"), F.col("l_linenumber").cast("double").alias("x2"), (F.col("l_suppkey") % 3 == 0).cast("long").alias("y"))
+
+
+@query("class_weights", f"SELECT y, count(*) AS n, round((SELECT count(*) FROM ({MODEL_SQL})) / (2.0::DOUBLE * count(*)), 9) AS weight FROM ({MODEL_SQL}) GROUP BY y")
+def _(spark, d):
+    return learning.class_weights(model_rows(spark, d), "y").withColumn("weight", F.round("weight", 9))
+
+
+STANDARD_SQL = f"""m AS ({MODEL_SQL}), w AS (SELECT y, (SELECT count(*) FROM m) / (2.0::DOUBLE * count(*)) AS weight FROM m GROUP BY y),
+  k AS (SELECT avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x2) AS m2, stddev_pop(x2) AS s2 FROM m), z AS (SELECT weight AS w, (x1 - m1) / s1 AS a, (x2 - m2) / s2 AS b, CAST(m.y AS DOUBLE) AS y FROM m JOIN w USING (y), k),
+  c AS (SELECT sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb, sum(w * y) / sum(w) AS my FROM z),
+  g AS (SELECT sum(w * (a - ma) * (a - ma)) + 1 AS aa, sum(w * (b - mb) * (b - mb)) + 1 AS bb, sum(w * (a - ma) * (b - mb)) AS ab, sum(w * (a - ma) * (y - my)) AS ay, sum(w * (b - mb) * (y - my)) AS byy FROM z, c),
+  f AS (SELECT (ay * bb - byy * ab) / (aa * bb - ab * ab) AS b1, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS b2 FROM g)"""
+
+
+@query("ridge_fit", f"WITH {STANDARD_SQL} SELECT round(my - b1 * ma - b2 * mb, 6) AS bias, round(b1, 6) AS b1, round(b2, 6) AS b2 FROM f, c")
+def _(spark, d):
+    rows = model_rows(spark, d)
+    weight = {r["y"]: r["weight"] for r in learning.class_weights(rows, "y").collect()}
+    beta = learning.ridge(rows, ["x1", "x2"], "y", F.when(F.col("y") == 1, weight.get(1, 1.0)).otherwise(weight.get(0, 1.0)), 1.0)
+    return spark.createDataFrame([[round(float(b), 6) for b in beta]], "bias double, b1 double, b2 double")
+
+
+def _loo_sql() -> str:
+    total = "SELECT y, count(*) AS n, sum(x1 - 25) AS a1, sum((x1 - 25) * (x1 - 25)) AS a2, sum(x2 - 4) AS b1, sum((x2 - 4) * (x2 - 4)) AS b2 FROM m GROUP BY y"
+    part = lambda x, c: f"-0.5::DOUBLE * ln(2 * pi() * greatest(q{x} - u{x} * u{x}, 1e-4::DOUBLE)) - ({c} - u{x}) * ({c} - u{x}) / (2 * greatest(q{x} - u{x} * u{x}, 1e-4::DOUBLE))"
+    return f"""WITH m AS ({MODEL_SQL}), t AS ({total}), o AS (SELECT row_number() OVER () AS rid, id, x1 - 25 AS v1, x2 - 4 AS v2, y FROM m),
+      l AS (SELECT o.*, t.y AS k, CAST(o.y = t.y AS BIGINT) AS own, n, a1, a2, b1, b2 FROM o, t),
+      u AS (SELECT rid, id, k, v1, v2, n - own AS n, (a1 - own * v1) / (n - own) AS u1, (a2 - own * v1 * v1) / (n - own) AS q1, (b1 - own * v2) / (n - own) AS u2, (b2 - own * v2 * v2) / (n - own) AS q2 FROM l),
+      s AS (SELECT rid, id, k, ln((n + 1.0::DOUBLE) / ((SELECT count(*) FROM m) + 1)) + {part(1, "v1")} + {part(2, "v2")} AS s FROM u)
+      SELECT id, round(sum(CASE k WHEN 1 THEN s ELSE -s END), 5) AS loo FROM s GROUP BY rid, id"""
+
+
+@query("naive_bayes_leave_one_out", _loo_sql())
+def _(spark, d):
+    return learning.naive_bayes_loo(model_rows(spark, d), ["x1", "x2"], "y").select("id", F.round("loo", 5).alias("loo"))
+
+
+RULES_SQL = "SELECT * FROM (VALUES ('none', 2.0::DOUBLE), ('half', 0.5::DOUBLE), ('most', 0.1::DOUBLE)) r(rule, threshold)"
+
+
+@query("rule_evaluation", f"""WITH r AS ({RUN_SQL}), j AS (SELECT rule, CAST(score >= threshold AS BIGINT) AS routed, gain FROM r, ({RULES_SQL})),
+  c AS (SELECT rule, CAST(sum(routed) AS BIGINT) AS routed, count(*) FILTER (routed = 1 AND gain > 0) AS helpful, count(*) FILTER (routed = 1 AND gain < 0) AS harmful, count(*) FILTER (gain > 0) AS pos, avg(routed * gain) AS mean_gain FROM j GROUP BY rule)
+  SELECT rule, routed, helpful, harmful, round(mean_gain, 8) AS mean_gain, round(coalesce(CAST(helpful AS DOUBLE) / nullif(routed, 0), 0), 9) AS precision, round(coalesce(CAST(helpful AS DOUBLE) / nullif(pos, 0), 0), 9) AS recall FROM c""")
+def _(spark, d):
+    rules = spark.createDataFrame([("none", 2.0), ("half", 0.5), ("most", 0.1)], "rule string, threshold double")
+    out = learning.rule_table(run_table(spark, d), rules, "score", "gain")
+    return out.withColumns({"mean_gain": F.round("mean_gain", 8), "precision": F.round("precision", 9), "recall": F.round("recall", 9)})
+
+
+@query("route_outcome_labels", f"""WITH r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id DESC) AS k FROM ({RUN_SQL}) WHERE gain > 0 AND y = 1), n AS (SELECT CAST(round_even(count(*) * 0.1::DOUBLE, 0) AS BIGINT) AS cap FROM orders)
+  SELECT o.id, CASE WHEN k <= cap THEN 'reason' ELSE 'direct' END AS route, CASE WHEN k <= cap THEN k END AS rank FROM ({RUN_SQL}) o CROSS JOIN n LEFT JOIN r ON r.id = o.id""")
+def _(spark, d):
+    return labels.route_labels(run_table(spark, d), "score", "id", 0.1, (F.col("gain") > 0) & (F.col("y") == 1)).select("id", "route", "rank")
+
+
+CHANGED = ["types", "triggers", "roles", "texts", "type_roles"]
+
+
+def _changes_sql() -> str:
+    sets = {"types": "event_type", "triggers": "s", "roles": "r", "texts": "a", "type_roles": "concat(event_type, '|', r)"}
+    side = lambda m: f"SELECT wnd_id, count(*) AS n, {', '.join(f'list(DISTINCT {c}) AS {k}' for k, c in sets.items())} FROM (SELECT *, concat('r', a % 4) AS r FROM ({predicted_sql(m)})) GROUP BY wnd_id"
+    full = ", ".join(f"coalesce(x.{k}, []) AS d_{k}, coalesce(y.{k}, []) AS r_{k}" for k in sets)
+    both = lambda k: f"len(list_intersect(d_{k}, r_{k}))"
+    cols = [f"round(CASE WHEN len(d_{k}) + len(r_{k}) = 0 THEN 1.0 ELSE {both(k)} / CAST(len(d_{k}) + len(r_{k}) - {both(k)} AS DOUBLE) END, 9) AS {k}_jaccard, len(r_{k}) - {both(k)} AS new_{k}, len(d_{k}) - {both(k)} AS dropped_{k}" for k in sets]
+    cols += [f"round(CASE WHEN len(d_{k}) = 0 THEN 0.0 ELSE {both(k)} / CAST(len(d_{k}) AS DOUBLE) END, 9) AS {k}_retention" for k in ("types", "texts")]
+    return f"WITH x AS ({side(5)}), y AS ({side(3)}), j AS (SELECT coalesce(x.wnd_id, y.wnd_id) AS wnd_id, coalesce(y.n, 0) - coalesce(x.n, 0) AS n_delta, {full} FROM x FULL JOIN y ON x.wnd_id = y.wnd_id) SELECT wnd_id, n_delta, {', '.join(cols)} FROM j"
+
+
+@query("output_pair_features", _changes_sql())
+def _(spark, d):
+    role = F.concat(F.lit("r"), (F.col("a") % 4).cast("long").cast("string"))
+    out = labels.output_changes(*[labels.output_sets(predicted(spark, d, m), role) for m in (5, 3)])
+    return out.withColumns({c: F.round(c, 9) for c in out.columns if c.endswith(("_jaccard", "_retention"))})
+
+
+@query("complexity_buckets", f"SELECT wnd_id, CASE WHEN count(*) >= 3 OR count(DISTINCT a) >= 6 THEN 'high' WHEN count(*) >= 2 OR count(DISTINCT a) >= 3 THEN 'medium' ELSE 'low' END AS bucket FROM ({GOLD_SQL}) GROUP BY wnd_id")
+def _(spark, d):
+    return gold(spark, d).groupBy("wnd_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("a").alias("k")).select("wnd_id", labels.complexity_bucket(F.col("n"), F.col("k")).alias("bucket"))
+
+
+@query("tail_type_priority", f"""WITH g AS ({GOLD_SQL}), f AS (SELECT event_type, 1000000 - count(DISTINCT wnd_id) AS deficit FROM g GROUP BY 1 HAVING count(DISTINCT wnd_id) < 1000000)
+  SELECT wnd_id, max(coalesce(deficit, 0)) AS deficit FROM g LEFT JOIN f USING (event_type) GROUP BY wnd_id ORDER BY deficit DESC, wnd_id LIMIT 100""")
+def _(spark, d):
+    return labels.tail_first(gold(spark, d), 1_000_000, 100)
+
+
+@query("balanced_documents", """WITH o AS (SELECT o_orderpriority AS category, o_custkey AS doc, o_orderkey AS id FROM orders), f AS (SELECT category, doc, arg_min(id, sha256(concat('7:row:', id))) AS id FROM o GROUP BY ALL)
+  SELECT category, doc, id FROM f QUALIFY row_number() OVER (PARTITION BY category ORDER BY sha256(concat('7:doc:', doc)), doc) <= 20""")
+def _(spark, d):
+    o = read(spark, d, "orders").select(F.col("o_orderpriority").alias("category"), F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("id"))
+    return labels.one_per_document(o, "category", "doc", "id", 20, "7")
+
+
+@query("evidence_grounding", """SELECT p_partkey AS id, CASE WHEN p_size % 4 = 0 THEN 'missing_surface_or_evidence' WHEN p_size % 4 = 1 THEN CASE WHEN contains(lower(p_name), lower(p_type)) THEN NULL ELSE 'surface_not_in_evidence' END
+  WHEN p_size % 4 = 2 THEN 'evidence_not_in_text' ELSE NULL END AS error FROM part""")
+def _(spark, d):
+    k, name = F.col("p_size") % 4, F.col("p_name")
+    evidence = F.when(k == 0, "").when(k == 2, F.concat(name, F.lit(" made up"))).otherwise(name)
+    surface = F.when(k == 1, F.col("p_type")).otherwise(F.upper(name))
+    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), labels.evidence_error(F.concat(F.lit("a  "), name, F.lit(" b")), surface, evidence).alias("error"))
+
+
+@query("registered_gate", f"""WITH s AS (SELECT n_windows, macro_f1 FROM ({ORACLES["score_s1_macro_mean"]})), c AS (SELECT n_windows > 0 AS has_windows, macro_f1 >= 0.5 AS f1_floor, macro_f1 < 0.6 AS f1_ceiling FROM s)
+  SELECT unnest(['has_windows', 'f1_floor', 'f1_ceiling', 'all']) AS "check", unnest([has_windows, f1_floor, f1_ceiling, has_windows AND f1_floor AND f1_ceiling]) AS passed FROM c""")
+def _(spark, d):
+    f = F.col("macro_f1")
+    return labels.checks(QUERIES["score_s1_macro_mean"](spark, d), {"has_windows": F.col("n_windows") > 0, "f1_floor": f >= 0.5, "f1_ceiling": f < 0.6})
