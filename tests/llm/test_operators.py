@@ -199,6 +199,32 @@ def test_chains_skip_and_align():
     assert chaining.align(a, b, (20, 19), (28, 27), 50, 0.8) is None or chaining.align(a, b, (0, 0), (80, 78), 50, 0.8)[4] == 1 - 2 / 80
 
 
+def words_of(seed: int, n: int) -> list[str]:
+    return [f"w{i}" for i in np.random.default_rng(seed).integers(0, 10**9, n)]
+
+
+def repeats(spark, texts: dict[int, list[str]]) -> list[tuple]:
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    return sorted((r.doc_id, r.start, r.end, r.holder_id) for r in chaining.passages(rows).collect())
+
+
+def test_passages_on_both_sides_of_a_gap(spark):
+    one, two, body = words_of(1, 60), words_of(2, 60), words_of(3, 130)
+    texts = {1: one + words_of(4, 50) + two, 2: one + words_of(5, 50) + two, 3: one + two, 4: words_of(6, 200) + words_of(7, 200), 5: words_of(6, 200) + body + words_of(7, 200)}
+    texts[4][200:200] = words_of(8, 130)
+    assert repeats(spark, texts) == [(2, 0, 60, 1), (2, 110, 170, 1), (3, 0, 60, 1), (3, 60, 120, 1), (5, 0, 200, 4), (5, 330, 530, 4)]
+
+
+def test_edits_up_to_the_similarity_and_edges():
+    r = np.random.default_rng(9)
+    a = r.integers(0, 10**6, 1000)
+    b = np.concatenate([a[:200], a[380:], r.integers(0, 10**6, 180)])
+    assert chaining._distance(a[:800], b[:620], 200) == 180 and chaining._distance(a, r.integers(0, 10**6, 1000), 200) > 200
+    c = a.copy()
+    c[[18, 30]] = -1
+    assert chaining.align(a[:60], c[:60], (19, 19), (30, 30), 50, 0.8)[:4] == (0, 60, 0, 60)
+
+
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline
 
