@@ -215,6 +215,12 @@ def test_passages_on_both_sides_of_a_gap(spark):
     assert repeats(spark, texts) == [(2, 0, 60, 1), (2, 110, 170, 1), (3, 0, 60, 1), (3, 60, 120, 1), (5, 0, 200, 4), (5, 330, 530, 4)]
 
 
+def test_passage_whose_lines_stood_elsewhere_before(spark):
+    one, two = words_of(1, 30), words_of(2, 30)
+    texts = {i: words_of(10 + i, 40) + part + words_of(50 + i, 40) for i, part in {1: one, 2: two, 10: one + two, 15: one, 16: two, 20: one + two}.items()}
+    assert repeats(spark, texts) == [(20, 40, 100, 10)]
+
+
 def test_edits_up_to_the_similarity_and_edges():
     r = np.random.default_rng(9)
     a = r.integers(0, 10**6, 1000)
