@@ -5,10 +5,12 @@
 2. Rounds of NN-descent: around every vector its neighbours and those that list it meet, each compares with the
    neighbours (neighbours of neighbours), and every list keeps the best it has seen. A vector that many others list
    meets them in portions, so the rows stay proportional to the links.
-3. A list whose every entry is within the threshold is saturated and may lack links: it is enlarged to all members
-   of its component, counted block against block; only counts leave a block.
-4. The recall is audited: a fixed number of vectors is compared with all rows, and further orderings and rounds run
-   until the recall found reaches RECALL.
+3. A list whose every entry is within the threshold is saturated and may lack links. Saturated vectors look on, in
+   further orderings, for neighbours outside their component, which their own group can't push out, until a search
+   joins no more components. Then such a list is enlarged to all members of its component, counted block against
+   block; only counts leave a block.
+4. The recall is audited: a fixed number of vectors, and as many that have links, are compared with all rows, and
+   further orderings and rounds run until the recall found reaches RECALL; if it no longer rises, that is an error.
 
 Only links at the threshold or above are kept. Everything is compared in double precision.
 """
@@ -99,14 +101,18 @@ def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _in_blocks(k: int, block: int):
+    """The k nearest rows of another home, of rows (id, dim, vec, home), within each block."""
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vecs, dims = [], [], []
+        ids, vecs, dims, homes = [], [], [], []
 
         def out():
             for d in set(dims):
                 mine = [i for i in range(len(dims)) if dims[i] == d]
                 x = _unit([vecs[i] for i in mine], d)
                 sims = x @ x.T
+                home = np.array([homes[i] for i in mine], np.int64)
+                sims[home[:, None] == home[None, :]] = -np.inf
                 np.fill_diagonal(sims, -np.inf)
                 u, v = _best(sims, k)
                 at = np.array([ids[i] for i in mine], np.int64)
@@ -116,11 +122,12 @@ def _in_blocks(k: int, block: int):
             ids += batch.column(0).to_pylist()
             dims += batch.column(1).to_pylist()
             vecs += batch.column(2).to_pylist()
+            homes += batch.column(3).to_pylist()
             while len(ids) >= 2 * block:
-                rest = ids[block:], vecs[block:], dims[block:]
-                ids, vecs, dims = ids[:block], vecs[:block], dims[:block]
+                rest = ids[block:], vecs[block:], dims[block:], homes[block:]
+                ids, vecs, dims, homes = ids[:block], vecs[:block], dims[:block], homes[:block]
                 yield from out()
-                ids, vecs, dims = rest
+                ids, vecs, dims, homes = rest
         if ids:
             yield from out()
 
@@ -177,10 +184,24 @@ def _descend(classes: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     return _lists(edges.unionByName(offers), k)
 
 
+def _outside(classes: DataFrame, homes: DataFrame, trees: range, k: int, bits: int, threshold: float) -> DataFrame:
+    """(a, b): links to the nearest vectors of other components. homes: id, component of the vectors that look."""
+    home = homes.select(F.col("id").alias("hid"), "component")
+    looking = cut(classes.join(home, classes["id"] == home["hid"], "left_semi").select("id", "dim", "vec"))
+    found = None
+    for tree in trees:
+        # _ordered keeps three columns; the component comes back by the id.
+        ordered = _ordered(looking, tree, bits).join(home, F.col("id") == F.col("hid"))
+        sorted_rows = ordered.repartitionByRange("code", "side", "id").sortWithinPartitions("code", "side", "id")
+        offers = sorted_rows.select("id", "dim", "vec", "component").mapInArrow(_in_blocks(k, BLOCK), "u long, v long, sim double")
+        found = offers if found is None else found.unionByName(offers)
+    return cut(found.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b")).distinct())
+
+
 def _grow(classes: DataFrame, edges: DataFrame | None, trees: range, k: int, rounds: int, bits: int) -> DataFrame:
     for tree in trees:
         sorted_rows = _ordered(classes, tree, bits).repartitionByRange("code", "side", "id").sortWithinPartitions("code", "side", "id")
-        offers = sorted_rows.select("id", "dim", "vec").mapInArrow(_in_blocks(k, BLOCK), "u long, v long, sim double")
+        offers = sorted_rows.select("id", "dim", "vec", F.col("id").alias("home")).mapInArrow(_in_blocks(k, BLOCK), "u long, v long, sim double")
         edges = offers if edges is None else edges.unionByName(offers)
     edges = _lists(edges, k)
     for _ in range(rounds):
@@ -229,8 +250,13 @@ def _counted(classes: DataFrame, members: DataFrame, threshold: float) -> DataFr
 
 
 def _audit(classes: DataFrame, found: DataFrame, threshold: float, audited: int) -> float:
-    """The share of the links of `audited` classes that `found` (id, n) holds. They are compared with all rows."""
-    picked = classes.orderBy(F.xxhash64("id")).limit(audited).select("id", "vec").toArrow()
+    """The share of the links of `audited` classes, and of as many that `found` (id, n) gives links, that it holds.
+
+    They are compared with all rows.
+    """
+    some = classes.orderBy(F.xxhash64("id")).limit(audited).select("id", "vec")
+    linked = found.where("n > 0").select(F.col("id").alias("lid")).orderBy(F.xxhash64(F.lit("linked"), "lid")).limit(audited)
+    picked = some.union(classes.join(linked, classes["id"] == linked["lid"], "left_semi").select("id", "vec")).distinct().toArrow()
     ids, vec = picked.column("id").to_numpy(), picked.column("vec").to_pylist()
     if not len(ids):
         return 1.0
@@ -268,13 +294,24 @@ def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "
     n = graph.count()
     bits = int(min(20, max(1, np.ceil(np.log2(max(2, n / BLOCK))) + 2)))
     rows = graph.select("id", "dim", "vec")
-    edges, trees = None, 0
-    for _ in range(MOST_PASSES):
+    edges, beyond, trees, passes, recall = None, None, 0, 0, -1.0
+    while True:
         edges = _grow(rows, edges, range(trees, trees + TREES), k, ROUNDS, bits)
         trees += TREES
         links = edges.where((F.col("sim") >= threshold) & (F.col("u") != F.col("v"))).select(F.col("u").alias("a"), F.col("v").alias("b"))
+        links = links if beyond is None else links.union(beyond).distinct()
         groups = cut(components(links))
-        saturated = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("low")).where((F.col("n") >= k) & (F.col("low") >= threshold)).select(F.col("u").alias("full"))
+        saturated = cut(edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("low")).where((F.col("n") >= k) & (F.col("low") >= threshold)).select(F.col("u").alias("full")))
+        # Each search that finds a link joins components, so this ends.
+        while saturated.limit(1).count():
+            looking = groups.join(saturated, groups["node"] == saturated["full"], "left_semi").select(F.col("node").alias("id"), "component")
+            more = _outside(rows, looking, range(trees, trees + TREES), k, bits, threshold)
+            trees += TREES
+            if not more.limit(1).count():
+                break
+            beyond = more if beyond is None else cut(beyond.union(more).distinct())
+            links = links.union(more).distinct()
+            groups = cut(components(links))
         full = groups.join(saturated, groups["node"] == saturated["full"], "left_semi").select(F.col("component").alias("dense")).distinct()
         dense = groups.join(full, groups["component"] == full["dense"], "left_semi").select(F.col("node").alias("id"), "component")
         counted = _counted(graph, dense, threshold)
@@ -283,8 +320,11 @@ def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "
         size = graph.select(F.col("id").alias("vid"), "copies")
         plain = both.join(thin, both["a"] == thin["id"], "left_semi").join(size, both["b"] == size["vid"]).groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("n"))
         found = cut(counted.unionByName(plain))
-        if _audit(graph, found, threshold, AUDITED) >= RECALL:
+        before, recall, passes = recall, _audit(graph, found, threshold, AUDITED), passes + 1
+        if recall >= RECALL:
             break
+        if passes >= MOST_PASSES and recall <= before:
+            raise RuntimeError(f"the recall found stays at {recall:.3f} after {passes} passes")
     other = found.select(F.col("id").alias("fid"), F.col("n").alias("others"))
     group = groups.select(F.col("node").alias("gid"), "component")
     home = classes.join(other, classes["id"] == other["fid"], "left").join(group, classes["id"] == group["gid"], "left")

@@ -189,6 +189,18 @@ def test_descent_against_all_pairs(spark):
     assert descent.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_descent_links_saturated_groups(spark):
+    r = np.random.default_rng(4)
+    centres = np.zeros((2, 32))
+    centres[0, 0] = 1
+    centres[1, :2] = 0.93, np.sqrt(1 - 0.93**2)
+    x = (np.repeat(centres, 14, axis=0) + 0.004 * r.standard_normal((28, 32))).astype(np.float32)
+    got = descent.near_duplicates(spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(28)], "vec_id long, embedding array<float>")).toPandas()
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    assert (u @ u.T).min() >= 0.9 and (u[:14] @ u[:14].T).min() > (u[:14] @ u[14:].T).max()
+    assert (got.n_links == 27).all() and (got.component_id == 0).all() and got.kept.sum() == 1
+
+
 def test_chains_skip_and_align():
     q0, r0 = np.array([0, 10, 40, 90]), np.array([100, 112, 20, 190])
     best = chaining.chain(q0, q0 + 8, r0, r0 + 8, 0.01)[0]
