@@ -201,6 +201,16 @@ def test_descent_links_saturated_groups(spark):
     assert (got.n_links == 27).all() and (got.component_id == 0).all() and got.kept.sum() == 1
 
 
+def test_thresholds_come_from_all_trusted_documents_not_fitted(spark):
+    docs = spark.createDataFrame([(i, prose(100 + i, 30 + i % 40), "en") for i in range(300)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    model = kneserney.fitted(docs, labels, 60)
+    sample = kneserney.trusted_sample(docs, labels, 60)
+    used = {r.doc_id for r in sample.where("NOT apart").collect()}
+    rest = sorted(r.perplexity for r in kneserney.perplexities(docs, model, ["doc_id"]).collect() if r.doc_id not in used)
+    assert len(rest) > 200 and np.isclose(model.limits["en"], rest[int(np.ceil(0.99 * len(rest))) - 1] * kneserney.SLACK)
+
+
 def test_chains_skip_and_align():
     q0, r0 = np.array([0, 10, 40, 90]), np.array([100, 112, 20, 190])
     best = chaining.chain(q0, q0 + 8, r0, r0 + 8, 0.01)[0]
