@@ -123,8 +123,12 @@ def _walk(m: Pieces, cells: np.ndarray, lengths: np.ndarray, p: int, live: np.nd
 
 
 def _blocks(lengths: np.ndarray, cells: int = 1 << 20):
-    """Units in groups of like length, by index; a group's matrix has about `cells` bytes at most."""
+    """Units in groups of like length, by index; a group's matrix has about `cells` bytes at most.
+
+    Units over LONG bytes are in groups of their own.
+    """
     order = np.argsort(lengths, kind="stable")
+    long = int((lengths <= LONG).sum())
     at = 0
     while at < len(order):
         end = at + 1
@@ -132,6 +136,8 @@ def _blocks(lengths: np.ndarray, cells: int = 1 << 20):
         end = min(len(order), at + step)
         while end - at > 1 and int(lengths[order[end - 1]]) * (end - at) > 2 * cells:
             end = at + (end - at) // 2
+        if at < long:
+            end = min(end, long)
         yield order[at:end]
         at = end
 
@@ -168,7 +174,7 @@ def forward(m: Pieces, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray
 def expected(m: Pieces, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Expected uses of each piece and each fallback byte over all segmentations, units counted by weight (forward-backward).
 
-    Units over LONG bytes are left to their bytes' own counts in full.
+    Units over LONG bytes are walked one at a time.
     """
     pieces, byte_uses = np.zeros(len(m.pieces)), np.zeros(256)
     for block in _blocks(lengths):
@@ -177,7 +183,7 @@ def expected(m: Pieces, data: np.ndarray, starts: np.ndarray, lengths: np.ndarra
             continue
         if length.max() > LONG:
             for u in block:
-                byte_uses += weight[u] * np.bincount(data[starts[u] : starts[u] + lengths[u]], minlength=256)
+                _expected_one(m, data[starts[u] : starts[u] + lengths[u]], float(weight[u]), pieces, byte_uses)
             continue
         cells = _matrix(data, starts[block], length)
         alpha = np.full((cells.shape[0] + 1, len(block)), -np.inf)
@@ -299,6 +305,27 @@ def _forward_one(m: Pieces, unit: np.ndarray) -> float:
     return float(alpha[-1])
 
 
+def _expected_one(m: Pieces, unit: np.ndarray, weight: float, pieces: np.ndarray, byte_uses: np.ndarray) -> None:
+    """Adds the unit's expected uses to both counts. Arcs are walked again on the way back instead of being kept."""
+    score = lambda p, k, piece: m.byte_scores[unit[p : p + k]].sum() if piece < 0 else m.scores[piece]
+    alpha, beta = np.full(len(unit) + 1, -np.inf), np.full(len(unit) + 1, -np.inf)
+    alpha[0] = beta[-1] = 0
+    for p in range(len(unit)):
+        if alpha[p] > -np.inf:
+            for k, piece in _arcs_one(m, unit, p):
+                alpha[p + k] = np.logaddexp(alpha[p + k], alpha[p] + score(p, k, piece))
+    for p in range(len(unit) - 1, -1, -1):
+        if alpha[p] > -np.inf:
+            for k, piece in _arcs_one(m, unit, p):
+                through = score(p, k, piece) + beta[p + k]
+                beta[p] = np.logaddexp(beta[p], through)
+                use = weight * np.exp(alpha[p] + through - alpha[-1])
+                if piece < 0:
+                    np.add.at(byte_uses, unit[p : p + k], use)
+                else:
+                    pieces[piece] += use
+
+
 def _viterbi_one(m: Pieces, unit: np.ndarray) -> np.ndarray:
     best = np.full(len(unit) + 1, -np.inf)
     best[0] = 0

@@ -211,6 +211,18 @@ def test_thresholds_come_from_all_trusted_documents_not_fitted(spark):
     assert len(rest) > 200 and np.isclose(model.limits["en"], rest[int(np.ceil(0.99 * len(rest))) - 1] * kneserney.SLACK)
 
 
+def test_long_units_are_counted_by_pieces_and_alone():
+    m = lattice.Pieces([b"a", b"b", b"ab"], np.log([0.3, 0.3, 0.4]), np.arange(3), np.arange(3, 259), np.log(1e-3))
+    units = [b"ab" * 30, b"abc", b"ab" * 250]
+    data = np.frombuffer(b"".join(units), np.uint8)
+    sizes = np.array([len(u) for u in units])
+    starts = np.cumsum(sizes) - sizes
+    each = [lattice.expected(m, data, starts[[i]], sizes[[i]], np.ones(1)) for i in range(3)]
+    together = lattice.expected(m, data, starts, sizes, np.ones(3))
+    assert np.allclose(together[0], sum(e[0] for e in each)) and np.allclose(together[1], sum(e[1] for e in each))
+    assert np.allclose(each[2][0], each[0][0] * 250 / 30) and each[2][1].sum() == 0 and np.isclose(together[1].sum(), 1)
+
+
 def test_chains_skip_and_align():
     q0, r0 = np.array([0, 10, 40, 90]), np.array([100, 112, 20, 190])
     best = chaining.chain(q0, q0 + 8, r0, r0 + 8, 0.01)[0]
