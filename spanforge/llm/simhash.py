@@ -189,8 +189,16 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, most: int = MOST_BITS) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id; of repeated rows with that id one stays."""
-    found = simhash_components(docs, doc_id, text, width, most)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    first = docs.where(docs[doc_id].isNotNull())
-    return first.join(kept, first[doc_id] == kept["_kept"], "left_semi").dropDuplicates([doc_id])
+    """One row of docs for each component of fingerprints: that with the smallest doc_id, a null counting as largest.
+
+    Ids don't link rows: rows with a null doc_id, and rows that share one but hold texts that aren't near, each stay
+    for their own component.
+    """
+    hashed = docs.withColumn("_text_hash", F.xxhash64(docs[text]))
+    prints = cut(with_fingerprint(hashed.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), "_text_hash"), ["doc_id", "_text_hash"], "text", width))
+    links = near_links(prints.select("fingerprint_bits").distinct(), most=most)
+    groups = components(links)
+    homes = prints.join(groups, prints["fingerprint_bits"] == groups["node"], "left").select(F.coalesce("component", "fingerprint_bits").alias("home"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text_hash").alias("row"))
+    kept = homes.groupBy("home").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("_kept"), F.col("row._text_hash").alias("_kept_hash"))
+    same = hashed[doc_id].eqNullSafe(kept["_kept"]) & (hashed["_text_hash"] == kept["_kept_hash"])
+    return hashed.join(kept, same, "left_semi").dropDuplicates([doc_id, "_text_hash"]).drop("_text_hash")

@@ -223,6 +223,13 @@ def test_long_units_are_counted_by_pieces_and_alone():
     assert np.allclose(each[2][0], each[0][0] * 250 / 30) and each[2][1].sum() == 0 and np.isclose(together[1].sum(), 1)
 
 
+def test_near_copies_are_dropped_by_text_and_not_by_id(spark):
+    texts = [prose(i, 80) for i in range(5)]
+    rows = [(1, texts[0]), (2, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[4])]
+    got = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id or 0), texts.index(r.text)) for r in got) == [(0, 1), (0, 2), (1, 0), (7, 3), (7, 4)]
+
+
 def test_chains_skip_and_align():
     q0, r0 = np.array([0, 10, 40, 90]), np.array([100, 112, 20, 190])
     best = chaining.chain(q0, q0 + 8, r0, r0 + 8, 0.01)[0]
