@@ -158,7 +158,7 @@ def test_search_against_full_scores():
 
     t = Tokens(column)
     doc, key, tf = topk.term_counts(t)
-    index = topk.build(np.arange(900), doc, key, tf, np.diff(t.offsets), float(np.diff(t.offsets).mean()))
+    index = topk.opened(topk.build(np.arange(900), doc, key, tf, np.diff(t.offsets)), float(np.diff(t.offsets).mean()))
     for q in range(0, 900, 90):
         terms, w = key[doc == q], r.random((doc == q).sum())
         norm = topk.K1 * (1 - topk.B + topk.B * np.diff(t.offsets) / np.diff(t.offsets).mean())
