@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .session import cut
+from .session import cut, settled
 from .textcore import LOWER, U64, one_spaced, slices, text_bytes, words, xxh64_spans
 
 WIDTH = 4
@@ -174,7 +174,7 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     fingerprint: 16 lower-case hex digits. component_id: the smallest doc_id that a row reaches by fingerprints at
     `most` or fewer differing bits, itself included. A null or wordless text has fingerprint zero and links like any
     other. Repeated rows give repeated rows; a row with a null doc_id takes part and gets the component of its
-    fingerprint (null if no row there has an id). An empty table gives no rows; further columns are ignored.
+    fingerprint (null if no row there has an id); a fingerprint that only rows without an id hold links no others. An empty table gives no rows; further columns are ignored.
     """
     prints = cut(with_fingerprint(docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")), ["doc_id"], "text", width))
     classes = cut(prints.groupBy("fingerprint_bits").agg(F.min("doc_id").alias("least")))
@@ -185,6 +185,8 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # Only the classes in a component of several need more than their own smallest id.
     moved = classes.join(groups, classes["least"] == groups["node"]).select(F.col("fingerprint_bits").alias("bits"), "component")
     home = classes.join(moved, classes["fingerprint_bits"] == moved["bits"], "left").select(F.col("fingerprint_bits").alias("bits"), F.coalesce("component", "least").alias("component_id"))
+    # As a table of its own it meets the rows in a plain join, which splits a fingerprint that very many rows share.
+    home = settled(home)
     return prints.join(home, prints["fingerprint_bits"] == home["bits"]).select("doc_id", F.lpad(F.lower(F.hex("fingerprint_bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -197,7 +199,7 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     hashed = docs.withColumn("_text_hash", F.xxhash64(docs[text]))
     prints = cut(with_fingerprint(hashed.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), "_text_hash"), ["doc_id", "_text_hash"], "text", width))
     links = near_links(prints.select("fingerprint_bits").distinct(), most=most)
-    groups = components(links)
+    groups = settled(components(links))
     homes = prints.join(groups, prints["fingerprint_bits"] == groups["node"], "left").select(F.coalesce("component", "fingerprint_bits").alias("home"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text_hash").alias("row"))
     kept = homes.groupBy("home").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("_kept"), F.col("row._text_hash").alias("_kept_hash"))
     same = hashed[doc_id].eqNullSafe(kept["_kept"]) & (hashed["_text_hash"] == kept["_kept_hash"])
