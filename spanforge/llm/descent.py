@@ -10,7 +10,8 @@
    joins no more components. Then such a list is enlarged to all members of its component, counted block against
    block; only counts leave a block.
 4. The recall is audited: a fixed number of vectors, and as many that have links, are compared with all rows, and
-   further orderings and rounds run until the recall found reaches RECALL; if it no longer rises, that is an error.
+   further orderings and rounds run until the recall found reaches RECALL. If it no longer rises, what is found
+   counts if that recall is LEAST_RECALL or more, and else that is an error. The recall is part of the result.
 
 Only links at the threshold or above are kept. Everything is compared in double precision.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import components
-from .session import cut
+from .session import cut, settled
 
 THRESHOLD = 0.9
 NEIGHBOURS = 8
@@ -35,22 +36,24 @@ ROUNDS = 2
 BLOCK = 512
 AUDITED = 200
 RECALL = 0.98
+LEAST_RECALL = 0.9
 MOST_PASSES = 3
 
 
 def _unit(rows: list[bytes] | np.ndarray, dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(rows), np.float32).reshape(-1, dim).astype(np.float64)
+    x = np.frombuffer(b"".join(rows), np.float64).reshape(-1, dim)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(id, dim, vec): the usable vectors as bytes of 32-bit floats, scaled to a largest component of one."""
+    """(id, dim, vec): the usable vectors as bytes of doubles, scaled by a power of two to a largest component of 0.5 to 1."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, lists = batch.columns
             n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = np.nan_to_num(lists.flatten().cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False), nan=np.inf, neginf=np.inf)
+            flat = lists.flatten().cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
+            flat = np.where(np.isfinite(flat), flat, np.inf)
             at = np.cumsum(n) - n
             keep, vec = [], []
             for i in np.flatnonzero(n).tolist():
@@ -58,8 +61,8 @@ def vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
                 top = np.abs(x).max()
                 if 0 < top < np.inf:
                     keep.append(i)
-                    vec.append((x.astype(np.float32) + np.float32(0)).tobytes())
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep, pa.int64())), pa.array([len(v) // 4 for v in vec], pa.int32()), pa.array(vec, pa.binary())], names=["id", "dim", "vec"])
+                    vec.append((np.ldexp(x, -np.frexp(top)[1]) + 0.0).tobytes())
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep, pa.int64())), pa.array([len(v) // 8 for v in vec], pa.int32()), pa.array(vec, pa.binary())], names=["id", "dim", "vec"])
 
     return table.select(table[vec_id].cast("long").alias("id"), table[embedding].cast("array<double>").alias("e")).where(F.col("id").isNotNull()).mapInArrow(go, "id long, dim int, vec binary")
 
@@ -149,7 +152,7 @@ def _meeting(k: int, portion: int = 256):
         def out():
             if listed and (len(listed) > 1 or coming):
                 ids = np.array([x[0] for x in listed] + [x[0] for x in coming], np.int64)
-                x = _unit([x[1] for x in listed] + [x[1] for x in coming], len(listed[0][1]) // 4)
+                x = _unit([x[1] for x in listed] + [x[1] for x in coming], len(listed[0][1]) // 8)
                 sims = x @ x[: len(listed)].T
                 sims[ids[:, None] == ids[None, : len(listed)]] = -np.inf
                 u, v = _best(sims, 4)
@@ -215,6 +218,7 @@ def _counted(classes: DataFrame, members: DataFrame, threshold: float) -> DataFr
     members: id, component. A block pair is a group of at most two blocks of rows; it gives one count a row.
     """
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).select(F.col("component").alias("of"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    sizes = settled(sizes)  # so that the join on the component is a plain one, which splits a large component
     rows = members.join(sizes, members["component"] == sizes["of"]).join(classes.select(F.col("id").alias("vid"), "vec", "copies"), F.col("id") == F.col("vid"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     rows = rows.select("component", "id", "vec", "copies", own.alias("own"), F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))).alias("pair"))
@@ -226,7 +230,7 @@ def _counted(classes: DataFrame, members: DataFrame, threshold: float) -> DataFr
         def out():
             if len(held) < 2:
                 return
-            x = _unit([h[4] for h in held], len(held[0][4]) // 4)
+            x = _unit([h[4] for h in held], len(held[0][4]) // 8)
             ids, copies = np.array([h[2] for h in held], np.int64), np.array([h[3] for h in held], np.int64)
             block = np.array([h[1] for h in held])
             linked = (x @ x.T) >= threshold
@@ -269,7 +273,7 @@ def _audit(classes: DataFrame, found: DataFrame, threshold: float, audited: int)
             for d in {len(v) for v in rows}:
                 q, r = [i for i, v in enumerate(asked) if len(v) == d], [i for i, v in enumerate(rows) if len(v) == d]
                 if q:
-                    linked = _unit([asked[i] for i in q], d // 4) @ _unit([rows[i] for i in r], d // 4).T >= threshold
+                    linked = _unit([asked[i] for i in q], d // 8) @ _unit([rows[i] for i in r], d // 8).T >= threshold
                     linked &= at[q][:, None] != mine[r][None, :]
                     yield pa.RecordBatch.from_arrays([pa.array(at[q]), pa.array(linked @ copies[r])], names=["id", "n"])
 
@@ -280,7 +284,7 @@ def _audit(classes: DataFrame, found: DataFrame, threshold: float, audited: int)
 
 
 def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row with a vec_id.
+    """(vec_id, n_links, component_id, kept, recall) of every row with a vec_id; recall is that of the audit.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do vectors of
     different lengths with each other. Rows with equal vectors link with one another; rows that share a vec_id are
@@ -312,7 +316,7 @@ def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "
             beyond = more if beyond is None else cut(beyond.union(more).distinct())
             links = links.union(more).distinct()
             groups = cut(components(links))
-        full = groups.join(saturated, groups["node"] == saturated["full"], "left_semi").select(F.col("component").alias("dense")).distinct()
+        full = settled(groups.join(saturated, groups["node"] == saturated["full"], "left_semi").select(F.col("component").alias("dense")).distinct())
         dense = groups.join(full, groups["component"] == full["dense"], "left_semi").select(F.col("node").alias("id"), "component")
         counted = _counted(graph, dense, threshold)
         both = links.union(links.select("b", "a")).distinct()
@@ -324,6 +328,8 @@ def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "
         if recall >= RECALL:
             break
         if passes >= MOST_PASSES and recall <= before:
+            if recall >= LEAST_RECALL:
+                break
             raise RuntimeError(f"the recall found stays at {recall:.3f} after {passes} passes")
     other = found.select(F.col("id").alias("fid"), F.col("n").alias("others"))
     group = groups.select(F.col("node").alias("gid"), "component")
@@ -332,4 +338,4 @@ def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "
     good = usable.join(home, (usable["dim"] == home["hdim"]) & (usable["vec"] == home["hvec"])).select("id", "n_links", "component_id")
     bad = table.where(table[vec_id].isNotNull()).select(table[vec_id].cast("long").alias("id")).exceptAll(usable.select("id")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = good.unionByName(bad)
-    return out.select(F.col("id").cast(table.schema[vec_id].dataType).alias("vec_id"), "n_links", F.col("component_id").cast(table.schema[vec_id].dataType).alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
+    return out.select(F.col("id").cast(table.schema[vec_id].dataType).alias("vec_id"), "n_links", F.col("component_id").cast(table.schema[vec_id].dataType).alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"), F.lit(recall).alias("recall"))
