@@ -34,13 +34,18 @@ def draw(doc_id: Column, seed: int = SEED) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(16**13))
 
 
-def described(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, source, lang, topic, tokens) of each row; a null source or lang is the value (none), a null text empty."""
-    body = F.coalesce(docs[text], F.lit(""))
+def described(docs: DataFrame, text: str = "text", topic: str | None = None) -> DataFrame:
+    """(row, source, lang, topic, tokens) of each row, all its columns in the struct `row`.
+
+    A null source, lang or topic is the value (none), a null text is empty. topic names a column of docs; without one
+    the layout of a text is its topic. A column that only happens to be called topic isn't read.
+    """
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    body = F.coalesce(F.col("row").getField(text), F.lit(""))
     n = F.regexp_count(body, F.lit(SPACED)).cast("long")
-    topic = docs["topic"] if "topic" in docs.columns else topic_of(body, n)
+    kind = F.col("row").getField(topic).cast("string") if topic else topic_of(body, n)
     none = F.lit("(none)")
-    return docs.select(docs[doc_id].alias("doc_id"), F.coalesce(docs["source"], none).alias("source"), F.coalesce(docs["lang"], none).alias("lang"), F.coalesce(topic, none).alias("topic"), n.alias("tokens"))
+    return packed.select("row", F.coalesce("row.source", none).alias("source"), F.coalesce("row.lang", none).alias("lang"), F.coalesce(kind, none).alias("topic"), n.alias("tokens"))
 
 
 def targets(cells: DataFrame, by: str, temper: float = TEMPER) -> DataFrame:
@@ -87,34 +92,36 @@ def calibrated(cells: DataFrame, budget: float = BUDGET, passes: int = 4) -> Dat
     return out.withColumn("probability", F.least(F.lit(1.0), F.col("scale") * F.col("ratio")))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", temper: float = TEMPER, budget: float = BUDGET, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, lang, topic, tokens, target_weight, probability, taken) of every row of docs.
+def weighed(docs: DataFrame, text: str = "text", topic: str | None = None, temper: float = TEMPER, budget: float = BUDGET, rounds: int = ROUNDS, goals: dict[str, DataFrame] | None = None) -> DataFrame:
+    """described() with `weight` and `probability` of each row's cell: 0 and 1 for rows without a word, which cost nothing.
 
-    target_weight: the share of the mixture's tokens that the row's cell should have. Rows without a word have no
-    token weight: weight 0, probability 1 (they cost nothing), taken. Repeated rows with one id share their draw.
+    A cell that goals leave out gets weight 0 and probability 0.
     """
-    rows = described(docs, doc_id, text)
+    rows = described(docs, text, topic)
     cells = settled(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
-    fitted = settled(calibrated(raked(cells, temper, rounds), budget).select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "weight", "probability"))
-    on = [rows[d] == fitted[f"_{d}"] for d in DIMENSIONS]
-    p = F.coalesce(F.round("probability", 9), F.lit(1.0))
-    return rows.join(fitted, on, "left").select("doc_id", *DIMENSIONS, "tokens", F.coalesce(F.round("weight", 9), F.lit(0.0)).alias("target_weight"), p.alias("probability"), (draw(F.col("doc_id"), seed) < p).alias("taken"))
+    fitted = settled(calibrated(raked(cells, temper, rounds, goals), budget).select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], F.round("weight", 9).alias("weight"), F.round("probability", 9).alias("probability")))
+    joined = rows.join(fitted, [rows[d] == fitted[f"_{d}"] for d in DIMENSIONS], "left")
+    without = F.when(F.col("tokens") > 0, 0.0).otherwise(1.0)
+    return joined.select("row", *DIMENSIONS, "tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("probability", without).alias("probability"))
 
 
-def sampled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **more) -> DataFrame:
-    """The rows of docs that the mixture takes, with all their columns. The decision is made per row, in the row's own place."""
-    temper, budget, rounds, seed = (more.get(k, v) for k, v in (("temper", TEMPER), ("budget", BUDGET), ("rounds", ROUNDS), ("seed", SEED)))
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    body = F.coalesce(F.col(f"row.{text}"), F.lit(""))
-    n = F.regexp_count(body, F.lit(SPACED)).cast("long")
-    none = F.lit("(none)")
-    topic = F.col("row.topic") if "topic" in docs.columns else topic_of(body, n)
-    rows = packed.select("row", F.coalesce("row.source", none).alias("source"), F.coalesce("row.lang", none).alias("lang"), F.coalesce(topic, none).alias("topic"), n.alias("tokens"))
-    cells = settled(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
-    fitted = settled(calibrated(raked(cells, temper, rounds), budget).select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "probability"))
-    on = [rows[d] == fitted[f"_{d}"] for d in DIMENSIONS]
-    p = F.coalesce(F.round("probability", 9), F.lit(1.0))
-    return rows.join(fitted, on, "left").where(draw(F.col(f"row.{doc_id}"), seed) < p).select("row.*")
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = SEED, **more) -> DataFrame:
+    """(doc_id, source, lang, topic, tokens, target_weight, probability, taken) of every row of docs.
+
+    target_weight: the share of the mixture's tokens that the row's cell should have. Rows without a word (null and
+    empty texts) have no token weight: weight 0, probability 1, taken. Null sources and languages are a value of their
+    own; null ids draw as one id. Repeated rows with one id share their draw, and a draw equal to the probability isn't
+    taken. An empty table gives no rows; further columns are ignored, also one called topic. more: see weighed().
+    """
+    rows = weighed(docs, text, **more)
+    taken = draw(F.col("row").getField(doc_id), seed) < F.col("probability")
+    return rows.select(F.col("row").getField(doc_id).alias("doc_id"), *DIMENSIONS, "tokens", F.col("weight").alias("target_weight"), "probability", taken.alias("taken"))
+
+
+def sampled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = SEED, **more) -> DataFrame:
+    """The rows of docs that mix() takes, with all their columns, whatever these are called, in the row's own place."""
+    rows = weighed(docs, text, **more)
+    return rows.where(draw(F.col("row").getField(doc_id), seed) < F.col("probability")).select("row.*")
 
 
 def oracle(temper: float = TEMPER, budget: float = BUDGET, rounds: int = ROUNDS, seed: int = SEED, passes: int = 4) -> str:
