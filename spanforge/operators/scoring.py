@@ -101,3 +101,77 @@ def consensus(signatures: DataFrame, by: str, sig: str) -> DataFrame:
     """Share of the commonest signature and of different signatures among a group's samples."""
     per = signatures.groupBy(by, sig).agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy(by).agg(F.round(F.max("n") / F.sum("n"), 9).alias("consensus"), F.round(F.count(F.lit(1)) / F.sum("n"), 9).alias("unique_rate"))
+
+
+def predicted_errors(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """The mirror of gold_errors(): every predicted mention by the first class that holds; extra_frame if none does."""
+    mirrored = gold_errors(predicted, gold)
+    return mirrored.withColumn("error", F.when(F.col("error") == "missing_frame", "extra_frame").otherwise(F.col("error")))
+
+
+def row_buckets(windows: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(wnd_id, bucket) of every window: has_exact, both_no_exact, gold_only, pred_only or empty_both."""
+    f = window_f1(gold, predicted, "argument")
+    both = windows.select("wnd_id").join(f, "wnd_id", "left").fillna(0, ["tp", "n_pred", "n_gold"])
+    tp, p, g = F.col("tp") > 0, F.col("n_pred") > 0, F.col("n_gold") > 0
+    return both.select("wnd_id", F.when(tp, "has_exact").when(p & g, "both_no_exact").when(g, "gold_only").when(p, "pred_only").otherwise("empty_both").alias("bucket"))
+
+
+def weighted_quality(gold: DataFrame, predicted: DataFrame, trigger: float, argument: float) -> DataFrame:
+    """(wnd_id, quality): weighted S1 scores of a window."""
+    t = window_f1(gold, predicted).select("wnd_id", F.col("f1").alias("t"))
+    a = window_f1(gold, predicted, "argument").select("wnd_id", F.col("f1").alias("a"))
+    return t.join(a, "wnd_id").select("wnd_id", F.round(F.lit(trigger) * F.col("t") + F.lit(argument) * F.col("a"), 7).alias("quality"))
+
+
+def window_errors(gold: DataFrame, predicted: DataFrame, tolerance: int = 2) -> DataFrame:
+    """(wnd_id, error): exact, or the one kind of error that tells a window's prediction from its gold; null if several.
+
+    wrong_type: equal spans under other types. trigger_drift: one trigger moved nearby. argument_omission and
+    event_omission: only something left out. extra_frame: only events added.
+    """
+    sides = None
+    for name, rows in (("g", gold), ("p", predicted)):
+        one = rows.groupBy("wnd_id").agg(*[F.collect_set(F.struct(*LEVELS[k])).alias(f"{name}_{k}") for k in LEVELS])
+        sides = one if sides is None else sides.join(one, "wnd_id", "full")
+    kinds = {c: F.array().cast(sides.schema[c].dataType) for c in sides.columns if c != "wnd_id"}
+    sides = sides.select("wnd_id", *[F.coalesce(c, none).alias(c) for c, none in kinds.items()])
+    gt, pt, ga, pa = (F.col(c) for c in ("g_trigger", "p_trigger", "g_argument", "p_argument"))
+    within = lambda a, b: F.size(F.array_except(a, b)) == 0
+    same = lambda a, b: within(a, b) & within(b, a)
+    spans = lambda x: F.array_distinct(F.transform(x, lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"))))
+    types = lambda x: F.array_sort(F.transform(x, lambda t: t["event_type"]))
+    only_p, only_g = F.array_except(pt, gt), F.array_except(gt, pt)
+    p, g = F.get(only_p, F.lit(0)), F.get(only_g, F.lit(0))
+    near = ((p["s"] < g["e"]) & (g["s"] < p["e"])) | (F.abs(p["s"] - g["s"]) + F.abs(p["e"] - g["e"]) <= tolerance)
+    moved = (F.size(only_p) == 1) & (F.size(only_g) == 1) & (p["event_type"] == g["event_type"]) & near
+    error = (
+        F.when(same(pt, gt) & same(pa, ga), "exact")
+        .when(same(spans(pt), spans(gt)) & (F.size(pt) == F.size(gt)) & ~same(pt, gt), "wrong_type")
+        .when((types(pt) == types(gt)) & moved, "trigger_drift")
+        .when(same(pt, gt) & within(pa, ga), "argument_omission")
+        .when(within(pt, gt) & ~within(gt, pt) & within(pa, ga), "event_omission")
+        .when(within(gt, pt) & ~within(pt, gt) & within(ga, pa), "extra_frame")
+    )
+    return sides.select("wnd_id", error.alias("error"))
+
+
+def suppression(windows: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Over the windows (wnd_id, valid) without gold events: how many predictions are valid, empty, and both."""
+    n = predicted.groupBy("wnd_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = windows.join(gold.select("wnd_id").distinct(), "wnd_id", "left_anti").join(n, "wnd_id", "left").fillna(0, ["n"])
+    rate = lambda test: F.round(F.count_if(test) / F.count(F.lit(1)), 9)
+    empty = F.col("n") == 0
+    return rows.agg(F.count(F.lit(1)).alias("negative_rows"), F.count_if("valid").alias("valid_rows"), rate(F.col("valid")).alias("valid_rate"), rate(empty).alias("empty_rate"), rate(F.col("valid") & empty).alias("strict_empty_rate"), F.round(F.avg("n"), 9).alias("mean_predicted"))
+
+
+def argument_changes(gold: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """Arguments that one of two systems has: removes_extra, recovers_missing, loses_correct or adds_extra."""
+    keys = ["wnd_id", *LEVELS["argument"]]
+    rows = None
+    for name, df in (("g", gold), ("b", before), ("c", after)):
+        one = df.select(*keys, *[F.lit(int(name == k)).alias(k) for k in "gbc"])
+        rows = one if rows is None else rows.unionByName(one)
+    u = rows.groupBy(*keys).agg(*[F.max(k).alias(k) for k in "gbc"]).where("b <> c")
+    right, had = F.col("g") == 1, F.col("b") == 1
+    return u.select(*keys, F.when(~right & had, "removes_extra").when(right & ~had, "recovers_missing").when(right, "loses_correct").otherwise("adds_extra").alias("mechanism"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.shared import written
+
 
 def without_types(windows: DataFrame, types: list[str]) -> DataFrame:
     """Drops every window that holds an event of one of the types (training side of a holdout)."""
@@ -66,9 +68,47 @@ def budget_cap(n: int, budget: float) -> int:
     return round(n * budget)
 
 
+def ranked(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """rows with their place from 1 on in the order of all, by range partitions: no task holds more than one range.
+
+    Rows before a partition are summed from one small row a partition. The ranges are drawn from a sample, which differs
+    from plan to plan, so the rows with their partitions are written once. Ties in the whole order get any of their places.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    low = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    staged = written(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), low.alias("_at")))
+    sizes = staged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # One row a range partition, whatever the rows are: a size that the number of partitions bounds.
+    placed = staged.join(F.broadcast(offsets), F.col("_part") == F.col("_of"))
+    return placed.withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_of", "_before")
+
+
 def top_by_budget(rows: DataFrame, score: str, key: str, budget: float) -> DataFrame:
     """The round(n x budget) rows of largest (score, key), nulls left out; the cap counts all rows."""
-    return rows.where(F.col(score).isNotNull()).orderBy(F.desc(score), F.desc(key)).limit(budget_cap(rows.count(), budget))
+    best = ranked(rows.where(F.col(score).isNotNull()), [F.desc(score), F.desc(key)], "_rank")
+    return best.where(F.col("_rank") <= budget_cap(rows.count(), budget)).drop("_rank")
+
+
+def order_statistics(rows: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """(q, v): the value at place round((n - 1) q), half to even, of the sorted values, for each share q; nulls don't count."""
+    some = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("v"))
+    n = some.count()
+    wanted = F.array(*[F.struct(F.lit(q).alias("q"), F.lit(round((n - 1) * q) + 1).cast("long").alias("at")) for q in shares])
+    named = ranked(some, [F.col("v")], "at").select("v", F.explode(F.filter(wanted, lambda w: w["at"] == F.col("at"))).alias("w"))
+    return named.select(F.col("w.q").alias("q"), "v")
+
+
+def upper_median(rows: DataFrame, value: str) -> DataFrame:
+    """(cutoff): the value at place n // 2 from 0 on; no row for no values."""
+    some = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("cutoff"))
+    return ranked(some, [F.col("cutoff")], "at").where(F.col("at") == some.count() // 2 + 1).select("cutoff")
+
+
+def frequency_tier(n: Column, limits: tuple[int, int, int] = (10, 30, 100)) -> Column:
+    """ultra_tail, tail, mid or head: under the first, second or third limit, or not."""
+    return F.when(n < limits[0], "ultra_tail").when(n < limits[1], "tail").when(n < limits[2], "mid").otherwise("head")
 
 
 def ranked_pairs(rows: DataFrame, label: str, score: str) -> DataFrame:
@@ -87,9 +127,10 @@ def auc(rows: DataFrame, label: str, score: str) -> DataFrame:
 
 def average_precision(rows: DataFrame, label: str, score: str, key: str) -> DataFrame:
     """Mean over positives of hits/rank, by (score, key) descending."""
-    w = Window.orderBy(F.desc(score), F.desc(key))
-    r = rows.where(F.col(score).isNotNull()).select(F.col(label).alias("y"), F.row_number().over(w).alias("rank"), F.sum(F.col(label).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("hits"))
-    return r.where("y = 1").agg(F.round(F.avg(F.col("hits") / F.col("rank")), 9).alias("ap"), F.count(F.lit(1)).alias("n_pos"))
+    order = [F.desc(score), F.desc(key)]
+    r = ranked(rows.where(F.col(score).isNotNull()).select(F.col(label).cast("long").alias("y"), score, key), order)
+    hits = ranked(r.where("y = 1"), [F.col("rank")], "hits")
+    return hits.agg(F.round(F.avg(F.col("hits") / F.col("rank")), 9).alias("ap"), F.count(F.lit(1)).alias("n_pos"))
 
 
 def threshold_sweep(rows: DataFrame, label: str, score: str) -> DataFrame:

@@ -123,17 +123,6 @@ def _(spark, d):
     return scoring.vote(samples(spark, d), 2)
 
 
-@query("sample_consensus", f"WITH c AS (SELECT wnd_id, k, count(*) AS sig FROM ({samples_sql()}) GROUP BY ALL), n AS (SELECT wnd_id, sig, count(*) AS n FROM c GROUP BY ALL) SELECT wnd_id, round(max(n) / CAST(sum(n) AS DOUBLE), 9) AS consensus, round(count(*) / CAST(sum(n) AS DOUBLE), 9) AS unique_rate FROM n GROUP BY wnd_id")
-def _(spark, d):
-    return scoring.consensus(samples(spark, d).groupBy("wnd_id", "k").agg(F.count(F.lit(1)).alias("sig")), "wnd_id", "sig")
-
-
-@query("selective_early_exit", f"WITH c AS (SELECT wnd_id, count(*) FILTER (k = 3) AS n3, count(*) FILTER (k = 4) AS n4 FROM ({samples_sql()}) GROUP BY wnd_id) SELECT count(*) AS n_windows, count(*) FILTER (n3 = n4) AS n_exit, round(2 + 6 * (count(*) FILTER (n3 <> n4)) / CAST(count(*) AS DOUBLE), 9) AS mean_paths FROM c")
-def _(spark, d):
-    c = samples(spark, d).groupBy("wnd_id").agg(F.count_if(F.col("k") == 3).alias("n3"), F.count_if(F.col("k") == 4).alias("n4"))
-    return c.agg(F.count(F.lit(1)).alias("n_windows"), F.count_if(F.col("n3") == F.col("n4")).alias("n_exit"), F.round(2 + 6 * F.count_if(F.col("n3") != F.col("n4")) / F.count(F.lit(1)), 9).alias("mean_paths"))
-
-
 # Holdouts, projections, statistics of splits
 
 
@@ -155,12 +144,6 @@ def _(spark, d):
     return per.agg(F.count_distinct("o_orderkey").alias("n_rows"), F.count_distinct("o_custkey").alias("n_docs"), F.count("n").alias("n_nonempty"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_events")).join(kinds, F.lit(True)).select("n_rows", "n_docs", "n_nonempty", "n_types", "n_events")
 
 
-@query("type_frequency_tiers", f"SELECT event_type, count(*) AS n, CASE WHEN count(*) < 1000 THEN 'ultra_tail' WHEN count(*) < 5000 THEN 'tail' WHEN count(*) < 20000 THEN 'mid' ELSE 'head' END AS tier FROM ({GOLD_SQL}) GROUP BY event_type")
-def _(spark, d):
-    n = gold(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("tier", F.when(F.col("n") < 1000, "ultra_tail").when(F.col("n") < 5000, "tail").when(F.col("n") < 20000, "mid").otherwise("head"))
-
-
 @query("events_vs_windows_by_type", f"SELECT event_type, count(*) FILTER (wnd_id % 10 < 8) AS train_events, count(DISTINCT wnd_id) FILTER (wnd_id % 10 < 8) AS train_windows, count(*) FILTER (wnd_id % 10 >= 8) AS test_events, count(DISTINCT wnd_id) FILTER (wnd_id % 10 >= 8) AS test_windows FROM ({GOLD_SQL}) GROUP BY event_type")
 def _(spark, d):
     train = F.col("wnd_id") % 10 < 8
@@ -175,12 +158,6 @@ def _(spark, d):
     return n.withColumn("r", F.row_number().over(w.orderBy(F.desc("n"), "event_type"))).withColumn("f", F.count(F.lit(1)).over(w)).where("r = 1 AND f >= 2").select("family", "event_type", "n")
 
 
-@query("role_signatures", f"SELECT sig, count(*) AS n FROM (SELECT wnd_id, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS sig FROM ({GOLD_SQL}) GROUP BY wnd_id) GROUP BY sig")
-def _(spark, d):
-    sig = gold(spark, d).groupBy("wnd_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), "|").alias("sig"))
-    return sig.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("type_counts_ranked", f"SELECT event_type, n, row_number() OVER (ORDER BY n DESC, event_type) AS rank FROM (SELECT event_type, count(*) AS n FROM ({GOLD_SQL}) GROUP BY event_type HAVING count(*) >= 10) ORDER BY rank LIMIT 3")
 def _(spark, d):
     n = gold(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).where("n >= 10")
@@ -196,13 +173,6 @@ def candidates(spark, d):
     return read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("gold"), (1 + (F.col("o_orderkey") * 13 + F.col("o_custkey")) % 12).alias("rank"))
 
 
-@query("recall_at_k", f"SELECT k, round(avg(CASE WHEN rank <= k THEN 1.0 ELSE 0.0 END), 9) AS recall, count(*) FILTER (rank <= k) AS hits FROM ({CAND}) CROSS JOIN (VALUES (1), (3), (5), (10)) t(k) GROUP BY k")
-def _(spark, d):
-    ks = F.explode(F.array(*map(F.lit, (1, 3, 5, 10))))
-    one = candidates(spark, d).groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
-    return one.select(ks.alias("k"), "rank", "n").groupBy("k").agg(F.round(F.sum(F.when(F.col("rank") <= F.col("k"), F.col("n")).otherwise(0)) / F.sum("n"), 9).alias("recall"), F.sum(F.when(F.col("rank") <= F.col("k"), F.col("n")).otherwise(0)).alias("hits"))
-
-
 @query("rank_buckets", f"SELECT CASE WHEN rank = 1 THEN '1' WHEN rank <= 3 THEN '2-3' WHEN rank <= 5 THEN '4-5' ELSE '6-10' END AS bucket, count(*) AS n, round(avg(rank), 9) AS mean_rank FROM ({CAND}) WHERE rank <= 10 GROUP BY 1")
 def _(spark, d):
     r = F.col("rank")
@@ -257,16 +227,6 @@ def _(spark, d):
     return read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_linenumber").alias("line"), F.max_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("part"))
 
 
-@query("interval_containment", "WITH b AS (SELECT min(ts) AS t0 FROM events), x AS (SELECT event_id, user_id, CAST(floor((epoch(ts) - epoch(t0)) / 3600) AS BIGINT) AS w FROM events, b) SELECT w, count(*) AS n, count(DISTINCT user_id) AS users FROM x GROUP BY w")
-def _(spark, d):
-    e = read(spark, d, "events")
-    e = e.select("event_id", "user_id", e["ts"].cast("timestamp").alias("ts"))
-    t0 = e.agg(F.min("ts").alias("t0"))
-    sec = F.unix_micros("ts") / 1e6 - F.unix_micros("t0") / 1e6
-    x = e.join(F.broadcast(t0), F.lit(True)).select(F.floor(sec / 3600).alias("w"), "user_id")
-    return x.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
-
-
 @query("pair_verification", f"WITH {BOTH}, a AS (SELECT wnd_id, count(*) AS n FROM g GROUP BY wnd_id), b AS (SELECT wnd_id, count(*) AS m FROM p GROUP BY wnd_id) SELECT count(*) FILTER (b.wnd_id IS NULL) AS missing, count(*) FILTER (a.wnd_id IS NULL) AS added, count(*) FILTER (n <> m) AS differ, count(*) FILTER (n = m) AS same FROM a FULL JOIN b USING (wnd_id)")
 def _(spark, d):
     a, b = gold(spark, d).groupBy("wnd_id").agg(F.count(F.lit(1)).alias("n")), predicted(spark, d).groupBy("wnd_id").agg(F.count(F.lit(1)).alias("m"))
@@ -319,12 +279,6 @@ def _(spark, d):
     return selection.average_precision(run_table(spark, d), "y", "score", "id")
 
 
-@query("utility_labels", f"SELECT CASE WHEN m > 0.5 THEN 'stable_reason' WHEN m < -0.5 THEN 'stable_direct' ELSE 'ambiguous' END AS label, count(*) AS n FROM (SELECT doc, avg(gain) AS m FROM ({RUN_SQL}) GROUP BY doc) GROUP BY 1")
-def _(spark, d):
-    m = run_table(spark, d).groupBy("doc").agg(F.avg("gain").alias("m"))
-    return m.groupBy(F.when(F.col("m") > 0.5, "stable_reason").when(F.col("m") < -0.5, "stable_direct").otherwise("ambiguous").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-
-
 # Statistics
 
 
@@ -334,52 +288,6 @@ def _(spark, d):
     return read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(q), 7).alias("mean"), F.round(F.stddev_pop(q), 7).alias("std_pop"), F.round(F.stddev_samp(q), 7).alias("std_sample"), F.min(q).alias("low"), F.max(q).alias("high"))
 
 
-@query("order_statistic_quantiles", "WITH n AS (SELECT count(*) AS n FROM orders), r AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) - 1 AS i FROM orders) SELECT q, v FROM r, n, (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE)) t(q) WHERE i = CAST(round_even((n - 1) * q, 0) AS BIGINT)")
-def _(spark, d):
-    rows = read(spark, d, "orders").select(F.col("o_totalprice").alias("v"))
-    n = rows.count()
-    at = {round((n - 1) * q): q for q in (0.1, 0.5, 0.9)}
-    w = Window.orderBy("v")
-    pick = F.create_map(*[x for i, q in at.items() for x in (F.lit(i), F.lit(q))])
-    return rows.select("v", (F.row_number().over(w) - 1).alias("i")).where(F.col("i").isin(list(at))).select(pick[F.col("i")].alias("q"), "v")
-
-
-@query("upper_median_buckets", "WITH r AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) - 1 AS i, count(*) OVER () AS n FROM orders), t AS (SELECT v AS cutoff FROM r WHERE i = n // 2) SELECT CASE WHEN o_totalprice >= cutoff THEN 'high' ELSE 'low' END AS bucket, count(*) AS n FROM orders, t GROUP BY 1")
-def _(spark, d):
-    rows = read(spark, d, "orders").select(F.col("o_totalprice").alias("v"))
-    n = rows.count()
-    cutoff = rows.select("v", (F.row_number().over(Window.orderBy("v")) - 1).alias("i")).where(F.col("i") == n // 2).select(F.col("v").alias("cutoff"))
-    return rows.join(F.broadcast(cutoff), F.lit(True)).groupBy(F.when(F.col("v") >= F.col("cutoff"), "high").otherwise("low").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("wilcoxon_signed_rank", f"""WITH d AS (SELECT gain * 10 + id % 4 AS x FROM ({RUN_SQL})), z AS (SELECT x, abs(x) AS m FROM d WHERE x <> 0), c AS (SELECT m, count(*) AS t, sum(CASE WHEN x > 0 THEN 1 ELSE 0 END) AS up FROM z GROUP BY m),
-  r AS (SELECT *, CAST(sum(t) OVER (ORDER BY m) AS DOUBLE) - t / 2.0::DOUBLE + 0.5::DOUBLE AS rank FROM c), s AS (SELECT CAST(sum(t) AS DOUBLE) AS n, sum(up * rank) AS w, sum(CAST(t AS DOUBLE) * t * t - t) AS ties FROM r)
-  SELECT CAST(n AS BIGINT) AS n, round(w, 4) AS w_plus, round((w - n * (n + 1) / 4 - 0.5::DOUBLE) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 7) AS z FROM s""")
-def _(spark, d):
-    x = run_table(spark, d).select((F.col("gain") * 10 + F.col("id") % 4).alias("x")).where("x <> 0")
-    c = x.groupBy(F.abs("x").alias("m")).agg(F.count(F.lit(1)).alias("t"), F.sum((F.col("x") > 0).cast("long")).alias("up"))
-    rank = F.sum("t").over(Window.orderBy("m")) - F.col("t") / 2.0 + 0.5
-    s = c.withColumn("rank", rank).agg(F.sum("t").cast("double").alias("n"), F.sum(F.col("up") * F.col("rank")).alias("w"), F.sum(F.pow(F.col("t").cast("double"), 3) - F.col("t")).alias("ties"))
-    n = F.col("n")
-    return s.select(n.cast("long").alias("n"), F.round("w", 4).alias("w_plus"), F.round((F.col("w") - n * (n + 1) / 4 - 0.5) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48), 7).alias("z"))
-
-
-BOOT = "CAST(('0x' || substr(md5(concat(b, ':', wnd_id)), 1, 8))::BIGINT AS DOUBLE) / 4294967296"
-
-
-@query("paired_bootstrap_poisson", f"""WITH s AS (SELECT wnd_id, tp, n_pred, n_gold FROM ({s1_sql('event_type, s, e')})), u AS (SELECT b, tp, n_pred, n_gold, {BOOT} AS x FROM s, generate_series(1, 20) t(b)),
-  w AS (SELECT *, CASE WHEN x < 0.36787944117144233 THEN 0 WHEN x < 0.7357588823428847 THEN 1 WHEN x < 0.9196986029286058 THEN 2 WHEN x < 0.9810118431238462 THEN 3 ELSE 4 END AS k FROM u),
-  m AS (SELECT b, CAST(sum(k * tp) AS DOUBLE) AS tp, CAST(sum(k * n_pred) AS DOUBLE) AS np, CAST(sum(k * n_gold) AS DOUBLE) AS ng FROM w GROUP BY b)
-  SELECT b, round(2 * tp / (np + ng), 9) AS f1 FROM m""")
-def _(spark, d):
-    s = scoring.window_f1(gold(spark, d), predicted(spark, d))
-    u = s.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(20).cast("long"))).alias("b"))
-    x = F.conv(F.substring(F.md5(F.concat("b", F.lit(":"), "wnd_id").cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296
-    k = F.when(x < 0.36787944117144233, 0).when(x < 0.7357588823428847, 1).when(x < 0.9196986029286058, 2).when(x < 0.9810118431238462, 3).otherwise(4)
-    m = u.withColumn("k", k).groupBy("b").agg(*[F.sum(F.col("k") * F.col(c)).cast("double").alias(c) for c in ("tp", "n_pred", "n_gold")])
-    return m.select("b", F.round(2 * F.col("tp") / (F.col("n_pred") + F.col("n_gold")), 9).alias("f1"))
-
-
 @query("gaussian_nb_fit", f"SELECT y, count(*) AS n, round((count(*) + 1.0::DOUBLE) / ((SELECT count(*) FROM orders) + 2), 9) AS prior, round(avg(score), 9) AS mean, round(greatest(var_pop(score), 0.0001), 9) AS var FROM ({RUN_SQL}) GROUP BY y")
 def _(spark, d):
     r = run_table(spark, d)
@@ -469,11 +377,6 @@ def _(spark, d):
     return read(spark, d, "customer").select(F.col("c_custkey").alias("id"), tx.norm_token(F.col("c_name")).alias("name"))
 
 
-@query("text_leak_terms", "SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'the')")
-def _(spark, d):
-    return read(spark, d, "conversations").where(F.contains(F.lower("text"), F.lit("the"))).select("conv_id", "turn")
-
-
 @query("surface_spans", "WITH t AS (SELECT item_id, string_split(lower(text), ' ') AS w FROM benchmark) SELECT item_id, len(list_filter(w, lambda x: x = w[1])) AS n_first FROM t")
 def _(spark, d):
     w = F.split(F.lower("text"), " ", -1)
@@ -682,3 +585,6 @@ def _(spark, d):
 def _(spark, d):
     f = F.col("macro_f1")
     return labels.checks(QUERIES["score_s1_macro_mean"](spark, d), {"has_windows": F.col("n_windows") > 0, "f1_floor": f >= 0.5, "f1_ceiling": f < 0.6})
+
+
+from . import queries_evidence, queries_matching, queries_structures  # noqa: E402, F401
