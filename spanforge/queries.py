@@ -323,12 +323,6 @@ def _(spark, d):
     return read(spark, d, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count_distinct("source").alias("n_sources"), F.count_distinct("lang").alias("n_langs")).where("n_sources > 1")
 
 
-@query("exposure_counts", f"SELECT event_type, count(DISTINCT wnd_id) AS n_windows, count(*) AS n_events FROM ({GOLD_SQL}) WHERE event_type IN ('R:F', 'A:F') GROUP BY event_type")
-def _(spark, d):
-    per = gold(spark, d).where(F.col("event_type").isin("R:F", "A:F")).groupBy("event_type", "wnd_id").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_windows"), F.sum("n").alias("n_events"))
-
-
 @query("row_digests", "SELECT conv_id, sha256(string_agg(concat(turn, '|', role, '|', text), chr(10) ORDER BY turn, role, text)) AS digest, count(*) AS n FROM conversations GROUP BY conv_id")
 def _(spark, d):
     line = F.concat_ws("|", F.col("turn").cast("string"), "role", "text")
@@ -587,4 +581,4 @@ def _(spark, d):
     return labels.checks(QUERIES["score_s1_macro_mean"](spark, d), {"has_windows": F.col("n_windows") > 0, "f1_floor": f >= 0.5, "f1_ceiling": f < 0.6})
 
 
-from . import queries_evidence, queries_matching, queries_structures  # noqa: E402, F401
+from . import queries_evidence, queries_matching, queries_structures, queries_targets  # noqa: E402, F401
