@@ -32,12 +32,10 @@ def ridge(rows: DataFrame, features: list[str], target: str, weight: Column, l2:
     k, y = len(x), F.col(target).cast("double")
     gram = [F.sum(weight * x[i] * x[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
     row = rows.agg(*gram, *[F.sum(weight * x[i] * y).alias(f"y{i}") for i in range(k)]).first()
-    lhs = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]) + l2 * np.diag([0.0] + [1.0] * (k - 1))
-    rhs = np.array([row[f"y{i}"] or 0.0 for i in range(k)])
-    try:
-        return np.linalg.solve(lhs, rhs)
-    except np.linalg.LinAlgError:
-        return np.linalg.pinv(lhs) @ rhs
+    both = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+    both[range(1, k), range(1, k)] += l2
+    # Least squares also answers where features depend on one another and nothing is penalised.
+    return np.linalg.lstsq(both, np.array([row[f"y{i}"] or 0.0 for i in range(k)]), rcond=None)[0]
 
 
 def linear_score(features: list[str], stats: dict[str, tuple[float, float]], beta: np.ndarray) -> Column:

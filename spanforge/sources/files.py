@@ -73,3 +73,68 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 def register(spark: SparkSession, df: DataFrame, name: str) -> None:
     """Upsert of a named dataset in the catalog."""
     df.write.mode("overwrite").saveAsTable(name)
+
+
+def read_jsonl_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(path, line, value): the objects of JSON lines with their line numbers from 1 on; blank lines count but give no row.
+
+    A line that isn't such an object has a null value: `bad_lines` says where. A file is one task's, as line numbers
+    need all that stands before; files are dealt out.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split("value", r"\r?\n").alias("lines"))
+    each = whole.select("path", F.posexplode("lines").alias("at", "text")).where(F.trim("text") != "")
+    broken = F.try_parse_json("text").isNull()
+    return each.select("path", (F.col("at") + 1).alias("line"), F.when(~broken, F.from_json("text", schema)).alias("value"))
+
+
+def bad_lines(rows: DataFrame) -> DataFrame:
+    """(place): path:line of each line that held no object."""
+    return rows.where("value IS NULL").select(F.concat_ws(":", "path", F.col("line").cast("string")).alias("place"))
+
+
+def read_many(spark: SparkSession, pattern: str, schema: str, keys: list[str], most_round: int | None = None) -> DataFrame:
+    """All files that match; of rows with equal keys the first by path stays. most_round: no row of a later round."""
+    rows = spark.read.schema(schema).json(pattern).withColumn("_path", F.input_file_name())
+    rows = rows.where(F.col("round") <= most_round) if most_round is not None else rows
+    kept = rows.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in (*keys, "_path")]), F.col("_path")).alias("_row"))
+    return kept.select(*keys, "_row.*")
+
+
+def read_split(spark: SparkSession, docs: DataFrame, path: str, doc_id: str = "doc_id") -> DataFrame:
+    """The documents that a list names, one id a line, in order of their ids; a name that is no document is an error."""
+    names = spark.read.text(path).select(F.trim("value").alias("_name")).where("_name <> ''").distinct()
+    lost = [r["_name"] for r in names.join(docs, names["_name"] == docs[doc_id], "left_anti").limit(5).collect()]
+    if lost:
+        raise ValueError(f"no such documents: {lost}")
+    return docs.join(names, docs[doc_id] == names["_name"], "left_semi").orderBy(doc_id)
+
+
+def write_summary(row: DataFrame, path: str) -> None:
+    """One row as a JSON file in a folder of its own."""
+    row.limit(1).coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def markdown(rows: DataFrame, most: int = 1000) -> str:
+    """A small table as Markdown; over `most` rows is an error, since such a table is a report."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"over {most} rows")
+    cell = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v).replace("|", "\\|")
+    head = [f"| {' | '.join(rows.columns)} |", "|" + "---|" * len(rows.columns)]
+    return "\n".join([*head, *(f"| {' | '.join(map(cell, r))} |" for r in got)])
+
+
+def cached(requests: DataFrame, path: str, answer) -> DataFrame:
+    """requests with `response`: what answer(new requests) gave, kept below path by the sha256 of the request's JSON.
+
+    answer takes rows with `key` and the columns of requests and returns (key, response); equal requests ask once.
+    """
+    spark = requests.sparkSession
+    keyed = requests.withColumn("key", F.sha2(F.to_json(F.struct(*sorted(requests.columns))), 256))
+    schema = "key string, response string"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+    known = spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    fresh = keyed.dropDuplicates(["key"]).join(known, "key", "left_anti")
+    answer(fresh).select("key", "response").write.mode("append").parquet(path)
+    return keyed.join(spark.read.schema(schema).parquet(path).dropDuplicates(["key"]), "key").drop("key")
