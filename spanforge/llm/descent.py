@@ -40,13 +40,29 @@ LEAST_RECALL = 0.9
 MOST_PASSES = 3
 
 
-def _unit(rows: list[bytes] | np.ndarray, dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(rows), np.float64).reshape(-1, dim)
+def _packed(x: np.ndarray) -> bytes:
+    """A vector as bytes: the size of an item, then the items, four bytes each where that loses nothing, else eight."""
+    short = x.astype(np.float32)
+    kept = short if (short == x).all() else x
+    return bytes([kept.itemsize]) + kept.tobytes()
+
+
+def _unit(rows: list[bytes], dim: int) -> np.ndarray:
+    """Packed vectors of one length as unit rows of doubles."""
+    x = np.empty((len(rows), dim))
+    for size in (4, 8):
+        mine = [i for i, r in enumerate(rows) if r[0] == size]
+        if mine:
+            x[mine] = np.frombuffer(b"".join(rows[i] for i in mine), np.dtype([("size", "u1"), ("x", f"<f{size}", dim)]))["x"]
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _dim(row: bytes) -> int:
+    return (len(row) - 1) // row[0]
+
+
 def vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(id, dim, vec): the usable vectors as bytes of doubles, scaled by a power of two to a largest component of 0.5 to 1."""
+    """(id, dim, vec): the usable vectors as _packed() bytes, scaled by a power of two to a largest component of 0.5 to 1."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,14 +71,15 @@ def vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
             flat = lists.flatten().cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
             flat = np.where(np.isfinite(flat), flat, np.inf)
             at = np.cumsum(n) - n
-            keep, vec = [], []
+            keep, vec, dims = [], [], []
             for i in np.flatnonzero(n).tolist():
                 x = flat[at[i] : at[i] + n[i]]
                 top = np.abs(x).max()
                 if 0 < top < np.inf:
                     keep.append(i)
-                    vec.append((np.ldexp(x, -np.frexp(top)[1]) + 0.0).tobytes())
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep, pa.int64())), pa.array([len(v) // 8 for v in vec], pa.int32()), pa.array(vec, pa.binary())], names=["id", "dim", "vec"])
+                    vec.append(_packed(np.ldexp(x, -np.frexp(top)[1]) + 0.0))
+                    dims.append(len(x))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep, pa.int64())), pa.array(dims, pa.int32()), pa.array(vec, pa.binary())], names=["id", "dim", "vec"])
 
     return table.select(table[vec_id].cast("long").alias("id"), table[embedding].cast("array<double>").alias("e")).where(F.col("id").isNotNull()).mapInArrow(go, "id long, dim int, vec binary")
 
@@ -152,7 +169,7 @@ def _meeting(k: int, portion: int = 256):
         def out():
             if listed and (len(listed) > 1 or coming):
                 ids = np.array([x[0] for x in listed] + [x[0] for x in coming], np.int64)
-                x = _unit([x[1] for x in listed] + [x[1] for x in coming], len(listed[0][1]) // 8)
+                x = _unit([x[1] for x in listed] + [x[1] for x in coming], _dim(listed[0][1]))
                 sims = x @ x[: len(listed)].T
                 sims[ids[:, None] == ids[None, : len(listed)]] = -np.inf
                 u, v = _best(sims, 4)
@@ -230,7 +247,7 @@ def _counted(classes: DataFrame, members: DataFrame, threshold: float) -> DataFr
         def out():
             if len(held) < 2:
                 return
-            x = _unit([h[4] for h in held], len(held[0][4]) // 8)
+            x = _unit([h[4] for h in held], _dim(held[0][4]))
             ids, copies = np.array([h[2] for h in held], np.int64), np.array([h[3] for h in held], np.int64)
             block = np.array([h[1] for h in held])
             linked = (x @ x.T) >= threshold
@@ -270,10 +287,11 @@ def _audit(classes: DataFrame, found: DataFrame, threshold: float, audited: int)
         at, asked = shared.value
         for batch in batches:
             rows, mine, copies = batch.column(2).to_pylist(), batch.column(0).to_numpy(), batch.column(3).to_numpy()
-            for d in {len(v) for v in rows}:
-                q, r = [i for i, v in enumerate(asked) if len(v) == d], [i for i, v in enumerate(rows) if len(v) == d]
+            dims = batch.column(1).to_numpy()
+            for d in np.unique(dims).tolist():
+                q, r = [i for i, v in enumerate(asked) if _dim(v) == d], np.flatnonzero(dims == d).tolist()
                 if q:
-                    linked = _unit([asked[i] for i in q], d // 8) @ _unit([rows[i] for i in r], d // 8).T >= threshold
+                    linked = _unit([asked[i] for i in q], d) @ _unit([rows[i] for i in r], d).T >= threshold
                     linked &= at[q][:, None] != mine[r][None, :]
                     yield pa.RecordBatch.from_arrays([pa.array(at[q]), pa.array(linked @ copies[r])], names=["id", "n"])
 
