@@ -98,11 +98,14 @@ def reason_code(e: Column, contrast: Column, schema: Column) -> Column:
 def contrastive(events: Column, candidates: Column, schema: Column) -> Column:
     """decisions: type, trigger, contrast type and reason code of each event."""
 
-    def one(e: Column) -> Column:
-        other = contrast_type(e, candidates, schema)
+    # Two steps, so that a contrast is found once and not once for each use.
+    found = F.transform(events, lambda e: F.struct(e.alias("event"), contrast_type(e, candidates, schema).alias("other")))
+
+    def one(x: Column) -> Column:
+        e, other = x["event"], x["other"]
         return F.struct(e["event_type"].alias("event_type"), trigger_of(e).alias("trigger"), other.alias("contrast_type"), reason_code(e, other, schema).alias("reason_code"))
 
-    return _target(decisions=F.transform(events, one), events=plain(events))
+    return _target(decisions=F.transform(found, one), events=plain(events))
 
 
 def candidate_reviews(events: Column, candidates: Column, schema: Column) -> Column:
@@ -112,24 +115,27 @@ def candidate_reviews(events: Column, candidates: Column, schema: Column) -> Col
     half of the core roles, role_mismatch if it shares a cue or an observed role, else trigger_mismatch.
     """
 
-    def nearest(c: Column) -> Column:
-        own = schema[c]
+    def overlaps(c: Column, e: Column, i: Column) -> Column:
+        own, gold = schema[c], schema[e["event_type"]]
+        cue = F.greatest(jaccard(own["cues"], cue_tokens(e["trigger"]["text"])), jaccard(own["cues"], gold["cues"]))
+        kin = (family(c) == family(e["event_type"])).cast("double")
+        return F.struct(kin.alias("kin"), jaccard(own["roles"], gold["roles"]).alias("core"), jaccard(own["roles"], roles_of(e)).alias("seen"), cue.alias("cue"), e["event_type"].alias("gold"), (-i).alias("first"))
 
-        def against(e: Column, i: Column) -> Column:
-            gold = schema[e["event_type"]]
-            kin, core, seen = (family(c) == family(e["event_type"])).cast("double"), jaccard(own["roles"], gold["roles"]), jaccard(own["roles"], roles_of(e))
-            cue = F.greatest(jaccard(own["cues"], cue_tokens(e["trigger"]["text"])), jaccard(own["cues"], gold["cues"]))
-            return F.struct((kin * 10 + seen * 4 + core * 2 + cue).alias("score"), (-i).alias("first"), e["event_type"].alias("gold"), ((kin > 0) | (core >= 0.5)).alias("better"), ((cue > 0) | (seen > 0)).alias("near"))
+    def scored(x: Column) -> Column:
+        better, near = (x["kin"] > 0) | (x["core"] >= 0.5), (x["cue"] > 0) | (x["seen"] > 0)
+        return F.struct((x["kin"] * 10 + x["seen"] * 4 + x["core"] * 2 + x["cue"]).alias("score"), x["first"], x["gold"], better.alias("better"), near.alias("near"))
 
-        return F.array_max(F.transform(events, against))
+    # Steps of their own, so that each overlap and each nearest event is found once and not once for each use.
+    nearest = lambda c: F.array_max(F.transform(F.transform(events, lambda e, i: overlaps(c, e, i)), scored))
+    have = lambda c: F.exists(events, lambda e: e["event_type"] == c)
+    found = F.transform(candidates, lambda c: F.struct(c.alias("type"), have(c).alias("have"), nearest(c).alias("best")))
 
-    def review(c: Column) -> Column:
-        best = nearest(c)
-        have = F.exists(events, lambda e: e["event_type"] == c)
+    def review(x: Column) -> Column:
+        have, best = x["have"], x["best"]
         code = F.when(have, "supported").when(best["better"], "better_type_match").when(best["near"], "role_mismatch").otherwise("trigger_mismatch")
-        return F.struct(c.alias("event_type"), F.when(have, "supported").otherwise("rejected").alias("status"), code.alias("reason_code"), F.when(~have & (best["better"] | best["near"]), best["gold"]).otherwise("").alias("contrast_type"))
+        return F.struct(x["type"].alias("event_type"), F.when(have, "supported").otherwise("rejected").alias("status"), code.alias("reason_code"), F.when(~have & (best["better"] | best["near"]), best["gold"]).otherwise("").alias("contrast_type"))
 
-    return F.transform(candidates, review)
+    return F.transform(found, review)
 
 
 def role_checks(events: Column, schema: Column, most: int) -> Column:

@@ -104,3 +104,16 @@ def test_line_target_and_missing_card(spark):
     asked = spark.sql("SELECT 'x' AS text, array('x') AS tokens, array('B') AS candidates")
     with pytest.raises(Exception, match="no card for B"):
         render.prompts(asked, schema).collect()
+
+
+def test_windows_are_counted_once_they_are_over(spark, tmp_path):
+    from datetime import datetime
+
+    (tmp_path / "in").mkdir()
+    rows = [(1, "a", datetime(2024, 1, 1, 0, 5)), (2, "a", datetime(2024, 1, 1, 0, 50)), (3, "b", datetime(2024, 1, 1, 0, 59)), (4, "a", datetime(2024, 1, 1, 1, 30))]
+    spark.createDataFrame(rows, "id long, kind string, ts timestamp").write.parquet(str(tmp_path / "in" / "one"))
+    stream = spark.readStream.schema("id long, kind string, ts timestamp").parquet(str(tmp_path / "in" / "*"))
+    q = ingest.windowed_counts(stream, "ts", "kind").writeStream.format("memory").queryName("counted").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination(60)
+    got = sorted((r["start"].hour, r["kind"], r["n"]) for r in spark.table("counted").collect())
+    assert got == [(0, "a", 2), (0, "b", 1)]
