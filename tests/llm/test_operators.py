@@ -282,3 +282,39 @@ def test_pipeline_stages_keep_columns(spark):
         assert kept.columns == docs.columns, name
         docs = spark.createDataFrame(kept.collect(), kept.schema)
     assert 0 < corpus_pipeline.STAGES[-1][1](spark, docs, d).where("exact").count() == docs.count()
+
+
+def test_near_copies_against_shingle_sets(spark):
+    r = np.random.default_rng(8)
+    texts = []
+    for k in range(60):
+        words = [f"w{x}" for x in r.integers(0, 5000, 150)]
+        texts.append(" ".join(words))
+        for changes in (1, 2, 5, 12):
+            new = list(words)
+            for at in r.choice(150, changes, replace=False):
+                new[at] = f"x{r.integers(0, 5000)}"
+            texts.append(" ".join(new))
+    texts += ["", " ", "one two", "one two", "one three"]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t.split() else set() for t in texts]
+    label = list(range(len(texts)))
+    for _ in range(4):
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if (a or b) and len(a & b) >= 0.8 * len(a | b) or not (a or b):
+                    label[j] = min(label[i], label[j])
+    got = {x.doc_id for x in simhash.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = set(label)
+    # Nothing goes that isn't near another; what stays beyond that are pairs that no key of the index holds.
+    assert want <= got and len(got - want) <= 3
+
+
+def test_closest_links_span_what_links_span():
+    r = np.random.default_rng(9)
+    a, b = r.integers(0, 60, 400), r.integers(0, 60, 400)
+    bits = r.integers(0, 20, 400).astype(np.int16)
+    kept = simhash._closest(60, a, b, bits)
+    for bound in range(20):
+        every, few = bits <= bound, bits[kept] <= bound
+        assert (simhash._forest(60, a[every], b[every]) == simhash._forest(60, a[kept][few], b[kept][few])).all()
+    assert len(kept) < 60
