@@ -581,4 +581,4 @@ def _(spark, d):
     return labels.checks(QUERIES["score_s1_macro_mean"](spark, d), {"has_windows": F.col("n_windows") > 0, "f1_floor": f >= 0.5, "f1_ceiling": f < 0.6})
 
 
-from . import queries_evidence, queries_matching, queries_structures, queries_targets  # noqa: E402, F401
+from . import queries_consensus, queries_evidence, queries_matching, queries_structures, queries_targets  # noqa: E402, F401
