@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ from .text import find_spans, norm_token
 SPANS = "array<struct<s:int,e:int>>"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once a row: inside lambdas every mention of an expression is computed again."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def compact_spans(tokens: Column, phrase: Column) -> Column:
     """Spans of tokens that read as the phrase, by equal words or else with punctuation and splits left aside.
 
@@ -17,18 +24,32 @@ def compact_spans(tokens: Column, phrase: Column) -> Column:
     ends with one. So no pairs of starts and ends are tried. Made for windows: its lengths are summed per token.
     """
     words = F.filter(F.split(F.lower(F.trim(phrase)), r"\s+"), lambda w: w != "")
-    exact = F.transform(find_spans(F.transform(tokens, F.lower), words), lambda i: F.struct(i.cast("int").alias("s"), (i + F.size(words)).cast("int").alias("e")))
     norms, target = F.transform(tokens, norm_token), norm_token(phrase)
-    ends = F.aggregate(norms, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))))
-    joined, size = F.array_join(norms, ""), F.length(target)
-    starts = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: (F.length(F.get(norms, i)) > 0) & (F.substring(joined, F.get(ends, i) + 1, size) == target) & F.array_contains(ends, F.get(ends, i) + size))
-    loose = F.transform(starts, lambda i: F.struct(i.alias("s"), (F.array_position(ends, F.get(ends, i) + size) - 1).cast("int").alias("e")))
-    none = F.array().cast(SPANS)
-    return F.when(F.size(exact) > 0, exact.cast(SPANS)).when((size > 0) & (F.size(tokens) > 0), loose.cast(SPANS)).otherwise(none)
+
+    def exact(v: Column) -> Column:
+        return F.transform(find_spans(v["low"], v["words"]), lambda i: F.struct(i.cast("int").alias("s"), (i + F.size(v["words"])).cast("int").alias("e"))).cast(SPANS)
+
+    def loose(v: Column) -> Column:
+        ends, size = v["ends"], F.length(v["target"])
+        starts = F.filter(F.sequence(F.lit(0), F.size(v["norms"]) - 1), lambda i: (F.length(F.get(v["norms"], i)) > 0) & (F.substring(v["joined"], F.get(ends, i) + 1, size) == v["target"]) & F.array_contains(ends, F.get(ends, i) + size))
+        spans = F.transform(starts, lambda i: F.struct(i.alias("s"), (F.array_position(ends, F.get(ends, i) + size) - 1).cast("int").alias("e")))
+        return F.when((size > 0) & (F.size(v["norms"]) > 0), spans.cast(SPANS)).otherwise(F.array().cast(SPANS))
+
+    def ended(v: Column) -> Column:
+        ends = F.aggregate(v["norms"], F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))))
+        return F.struct(v["norms"].alias("norms"), v["target"].alias("target"), F.array_join(v["norms"], "").alias("joined"), ends.alias("ends"))
+
+    inexact = once(F.struct(norms.alias("norms"), target.alias("target")), lambda v: once(ended(v), loose))
+    equal = once(F.struct(F.transform(tokens, F.lower).alias("low"), words.alias("words")), exact)
+    return once(equal, lambda x: F.when(F.size(x) > 0, x).otherwise(inexact))
 
 
 def chosen_span(surface: Column, evidence: Column) -> Column:
     """struct(s, e, method) out of candidate spans: inside evidence, else nearest to it, else the first."""
+    return once(F.struct(surface.alias("surface"), evidence.alias("evidence")), lambda v: _chosen(v["surface"], v["evidence"]))
+
+
+def _chosen(surface: Column, evidence: Column) -> Column:
     middle = lambda x: (x["s"] + x["e"]) / 2
     inside = F.filter(surface, lambda x: F.exists(evidence, lambda v: (x["s"] >= v["s"]) & (x["e"] <= v["e"])))
     near = F.array_min(F.transform(surface, lambda x, i: F.struct(F.abs(middle(x) - middle(F.get(evidence, F.lit(0)))).alias("far"), i.alias("i"), x.alias("x"))))["x"]

@@ -21,6 +21,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows in as many partitions as a shuffle has: a small file of many rows is else the work of few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("l_linenumber").cast("long")
     return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("wnd_id"), F.concat("l_returnflag", F.lit(":"), "l_linestatus").alias("event_type"), n.alias("s"), (n + 1).alias("e"), (F.col("l_partkey") % 50).alias("a"))
