@@ -57,11 +57,12 @@ def both_within(relations: DataFrame, members: DataFrame, group: str) -> DataFra
 def token_offsets(items: DataFrame, tokens: DataFrame, group: str) -> DataFrame:
     """items (group, start, end in characters, ...) with first and last token: those that begin and end there, or null.
 
-    tokens: group, i, s, e. Of several tokens at one place the last counts.
+    tokens: group, i, s, e. Of several tokens at one place the last counts. Tokens outnumber what the planner expects
+    of exploded rows, so neither join sends them to every task.
     """
     begin = tokens.groupBy(F.col(group).alias("_gs"), F.col("s").alias("_s")).agg(F.max("i").alias("first_token"))
     stop = tokens.groupBy(F.col(group).alias("_ge"), F.col("e").alias("_e")).agg(F.max("i").alias("last_token"))
-    out = items.join(begin, (F.col(group) == F.col("_gs")) & (F.col("start") == F.col("_s")), "left").join(stop, (F.col(group) == F.col("_ge")) & (F.col("end") == F.col("_e")), "left")
+    out = items.join(begin.hint("merge"), (F.col(group) == F.col("_gs")) & (F.col("start") == F.col("_s")), "left").join(stop.hint("merge"), (F.col(group) == F.col("_ge")) & (F.col("end") == F.col("_e")), "left")
     return out.select(*items.columns, "first_token", "last_token")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .operators import matching, picking, selection
-from .plans.roles import GOLD_SQL, gold, predicted, predicted_sql, read
+from .plans.roles import GOLD_SQL, dealt, gold, predicted, predicted_sql, read
 from .queries import RUN_SQL, query, run_table
 
 # Characters: an item of a document begins and ends at some character, sentences are 20 characters long.
@@ -40,7 +40,7 @@ def _(spark, d):
 @query("char_to_token_offsets", f'WITH i AS ({ITEM_SQL}), t AS (SELECT o_orderkey AS doc, k AS i, k * 3 AS s, k * 3 + 3 AS e FROM orders, generate_series(0, 24) t(k)) SELECT i.doc, i.item, i.start, i."end", a.i AS first_token, b.i AS last_token FROM i LEFT JOIN t a ON a.doc = i.doc AND a.s = i.start LEFT JOIN t b ON b.doc = i.doc AND b.e = i."end"')
 def _(spark, d):
     k = F.col("i")
-    tokens = read(spark, d, "orders").select(F.col("o_orderkey").alias("doc"), F.explode(F.sequence(F.lit(0), F.lit(24))).alias("i")).select("doc", "i", (k * 3).alias("s"), (k * 3 + 3).alias("e"))
+    tokens = dealt(read(spark, d, "orders").select("o_orderkey"), "o_orderkey").select(F.col("o_orderkey").alias("doc"), F.explode(F.sequence(F.lit(0), F.lit(24))).alias("i")).select("doc", "i", (k * 3).alias("s"), (k * 3 + 3).alias("e"))
     return matching.token_offsets(items(spark, d), tokens, "doc")
 
 

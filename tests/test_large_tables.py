@@ -4,7 +4,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from spanforge.operators import evidence
+from spanforge.functions import spans
+from spanforge.operators import evidence, matching
 from spanforge.queries import ORACLES, QUERIES
 
 LINE = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string"
@@ -43,3 +44,20 @@ def test_wins_in_a_large_group_and_with_nulls(spark):
     got = {r["g"]: r["win_rate"] for r in evidence.pairwise_wins(rows.union(small), "g", "b", "c").collect()}
     # Of 1,000 values each candidate is ahead of its own number of lower ones, half of them one up.
     assert got == {1: pytest.approx((499.5 + 500.5) / 2 / 1000, abs=1e-9), 2: round(3 / 9, 9), 3: 0.0}
+
+
+def test_tokens_are_not_sent_to_every_task(spark):
+    doc = spark.range(10).select(F.col("id").alias("doc"))
+    tokens = doc.select("doc", F.explode(F.sequence(F.lit(0), F.lit(24))).alias("i")).select("doc", "i", (F.col("i") * 3).alias("s"), (F.col("i") * 3 + 3).alias("e"))
+    items = doc.select("doc", F.lit(3).alias("start"), F.lit(9).alias("end"))
+    out = matching.token_offsets(items, tokens, "doc")
+    assert {tuple(r)[1:] for r in out.collect()} == {(3, 9, 1, 2)}
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_span_search_computes_its_parts_once(spark):
+    df = spark.createDataFrame([(["a", "-", "b"], "a-b", "b")], "t array<string>, x string, v string")
+    out = df.select(spans.chosen_span(spans.compact_spans(F.col("t"), F.col("x")), spans.compact_spans(F.col("t"), F.col("v"))).alias("f"))
+    assert tuple(out.first()["f"]) == (0, 3, "nearest_surface_to_evidence")
+    # One running sum of lengths for the surface and one for the evidence.
+    assert out._jdf.queryExecution().analyzed().toString().count("aggregate(") == 2
