@@ -221,18 +221,39 @@ def _links_in_lists(key: np.ndarray, prints: list[np.ndarray], most: int, least:
     return shortened()[0]
 
 
-def _linker(most: int, least: int, sure: int):
+def _pairs_apart(key: np.ndarray, prints: list[np.ndarray], home: np.ndarray, most: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """As _links_in_lists(), but every link between rows of different homes, in parts of about PAIRS."""
+    at, step, held, new = np.arange(max(len(key) - 1, 0)), 1, [], 0
+    while len(at):
+        at = at[at + step < len(key)]
+        at = at[key[at] == key[at + step]]
+        a = at[home[at] != home[at + step]]
+        bits = sum(np.bitwise_count(w[a] ^ w[a + step]).astype(np.int16) for w in prints)
+        a, bits = a[bits <= most], bits[bits <= most]
+        same = sum((((w[a] ^ w[a + step]) >> U64(8 * p)) & U64(0xFF)) == 0 for w in prints for p in range(8))
+        a, bits = a[same >= least], bits[same >= least]
+        held.append((a, a + step, bits))
+        new, step = new + len(a), step + 1
+        if new > PAIRS:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, new = [], 0
+    if new:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _linker(most: int, least: int, sure: int, apart: bool = False):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         size = 0
 
-        def out(rows: list[list[np.ndarray]]) -> pa.RecordBatch:
+        def out(rows: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
             group, *prints = (np.concatenate(x) for x in zip(*rows, strict=True))
+            home = prints.pop() if apart else None
             prints = [w.view(U64) for w in prints]
-            a, b, bits = _links_in_lists(group, prints, most, least, sure)
-            ends = [_folded([w[x] for w in prints]).view(np.int64) for x in (a, b)]
-            links = np.unique(np.stack([np.minimum(*ends), np.maximum(*ends), bits.astype(np.int64)]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in links], names=["a", "b", "bits"])
+            for a, b, bits in _pairs_apart(group, prints, home, most, least) if apart else [_links_in_lists(group, prints, most, least, sure)]:
+                ends = [_folded([w[x] for w in prints]).view(np.int64) for x in (a, b)]
+                links = np.unique(np.stack([np.minimum(*ends), np.maximum(*ends), bits.astype(np.int64)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in links], names=["a", "b", "bits"])
 
         for batch in batches:
             part = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -242,17 +263,17 @@ def _linker(most: int, least: int, sure: int):
             cutoff = int(np.searchsorted(group, group[-1])) if group[-1] != group[0] else 0
             if cutoff or (held and held[-1][0][-1] != group[0]):
                 if not cutoff:
-                    yield out(held)
+                    yield from out(held)
                     held, size = [part], len(group)
                     continue
                 if size + cutoff >= 200_000:
-                    yield out([*held, [x[:cutoff] for x in part]])
+                    yield from out([*held, [x[:cutoff] for x in part]])
                     held, size = [[x[cutoff:] for x in part]], len(group) - cutoff
                     continue
             held.append(part)
             size += len(group)
         if held:
-            yield out(held)
+            yield from out(held)
 
     return go
 
@@ -265,31 +286,34 @@ def near_links(
     least: int = LEAST_BYTES,
     sure: int | None = None,
     block: int = BLOCK,
+    home: str | None = None,
 ) -> DataFrame:
     """(a, b, bits): pairs of different fingerprints that share a key, have `least` positional bytes and all but `most` bits equal.
 
     The pairs connect all that such pairs connect, for every bound from `sure` (`most`) to `most`. `classes` holds each
     fingerprint once, as the longs `prints` (fingerprint_bits); a and b are _folded() ones, of one long that itself.
-    `keys` are the positions that must be equal; the default finds every pair within four of 64 bits.
+    `keys` are the positions that must be equal; the default finds every pair within four of 64 bits. With `home`, a long
+    of classes, they are all such pairs of different homes and not only those that connect the others.
     """
     prints = prints or ["fingerprint_bits"]
     names = [f"f{k}" for k in range(len(prints))]
-    classes = classes.select(*[classes[c].alias(n) for c, n in zip(prints, names, strict=True)])
+    more = ["home"] if home else []
+    classes = classes.select(*[classes[c].alias(n) for c, n in zip([*prints, *([home] if home else [])], [*names, *more], strict=True)])
 
     def key(k: int, positions: tuple[int, ...]) -> str:
         parts = [f"(shiftright(f{p // 8}, {8 * (p % 8)}) & 255L) << {8 * i}" for i, p in enumerate(positions)]
         return f"({' | '.join([f'{k}L << 40', *(f'({x})' for x in parts)])})"
 
-    listed = classes.selectExpr(*names, f"explode(array({', '.join(key(k, c) for k, c in enumerate(keys))})) as list")
+    listed = classes.selectExpr(*names, *more, f"explode(array({', '.join(key(k, c) for k, c in enumerate(keys))})) as list")
     # As a table of its own the few long lists meet the rows without a shuffle, as far as the planner sees that they are few.
     long = settled(listed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select(F.col("list").alias("hot"), F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     dealt = listed.join(long, listed["list"] == long["hot"], "left")
     own = F.pmod(F.xxhash64(*names), F.col("blocks")).cast("int")
     pairs = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j)))
     # The group is the hash of a list and a pair of blocks; what a collision adds is verified like the rest.
-    groups = dealt.select(*names, "list", F.explode(pairs).alias("pair")).select(F.xxhash64("list", "pair").alias("group"), *names)
+    groups = dealt.select(*names, *more, "list", F.explode(pairs).alias("pair")).select(F.xxhash64("list", "pair").alias("group"), *names, *more)
     groups = groups.repartition("group").sortWithinPartitions("group", names[0])
-    return groups.mapInArrow(_linker(most, least, most if sure is None else sure), "a long, b long, bits long")
+    return groups.mapInArrow(_linker(most, least, most if sure is None else sure, home is not None), "a long, b long, bits long")
 
 
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, most: int = MOST_BITS) -> DataFrame:
@@ -339,12 +363,23 @@ def _verified(hashed: DataFrame, prints: DataFrame, doubtful: DataFrame, text: s
     return both.where(shared + F.lit(1e-9) >= either * F.lit(similarity)).select("a", "b")
 
 
+def _still_apart(classes: DataFrame, loose: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of classes (with node) those, with `home`, whose component under all links holds several groups; home is the group."""
+    loose = loose.select(F.col("node").alias("_node"), F.col("component").alias("_loose"))
+    groups = groups.select(F.col("node").alias("_in"), F.col("component").alias("_group"))
+    homes = settled(loose.join(groups, F.col("_node") == F.col("_in"), "left").select("_node", "_loose", F.coalesce("_group", "_node").alias("home")))
+    mixed = homes.groupBy("_loose").agg(F.min("home").alias("_low"), F.max("home").alias("_high")).where("_low < _high").select(F.col("_loose").alias("_mixed"))
+    homes = homes.join(mixed, F.col("_loose") == F.col("_mixed"), "left_semi")
+    return settled(classes.join(homes, F.col("node") == F.col("_node")).select(*WIDE, "home"))
+
+
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of docs for each component of near copies: that with the smallest doc_id, a null counting as largest.
 
     Texts link if their distinct shingles have the Jaccard similarity: pairs that share a key of the wide fingerprint
-    and lie under the lower of bit_bounds() are linked, those up to the upper one are compared by their shingles, the
-    closest pair of each two groups. Wordless and null texts are copies of one another. Ids don't link rows: rows with
+    and lie under the lower of bit_bounds() are linked, those up to the upper one are compared by their shingles: first
+    the closest pair of each two groups, then, where some of these fail, every pair of groups that are still apart.
+    Wordless and null texts are copies of one another. Ids don't link rows: rows with
     a null doc_id, and rows that share one but hold texts that aren't near, each stay for their own component.
     Repeated rows leave one; an empty table gives no rows; further columns are kept.
     """
@@ -355,7 +390,8 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     prints = cut(with_wide_fingerprint(hashed.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), "_text_hash"), ["doc_id", "_text_hash"], "text", width))
     sure, most = bit_bounds(similarity)
-    links = near_links(cut(prints.select(*WIDE).distinct()), WIDE, WIDE_KEYS, most, 3, sure)
+    classes = cut(prints.select(*WIDE, "node").distinct())
+    links = near_links(classes, WIDE, WIDE_KEYS, most, 3, sure)
     links = settled(links.groupBy("a", "b").agg(F.min("bits").alias("bits")))
     certain = links.where(F.col("bits") <= sure).select("a", "b")
     first = settled(components(certain))
@@ -365,7 +401,11 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     closest = apart.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min(F.struct("bits", "a", "b")).alias("link"))
     doubtful = settled(closest.select("link.a", "link.b"))
     verified = _verified(hashed, prints, doubtful, text, width, similarity, same)
-    groups = settled(components(certain.union(verified)))
+    joined = settled(certain.union(verified))
+    rest = _still_apart(classes, components(links.select("a", "b")), components(joined))
+    others = near_links(rest, WIDE, WIDE_KEYS, most, 3, home="home").select("a", "b").distinct()
+    others = settled(others.join(doubtful.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti"))
+    groups = settled(components(joined.union(_verified(hashed, prints, others, text, width, similarity, same))))
     homes = prints.join(groups, prints["node"] == groups["node"], "left").select(F.coalesce("component", prints["node"]).alias("home"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text_hash").alias("row"))
     kept = homes.groupBy("home").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("_kept"), F.col("row._text_hash").alias("_kept_hash"))
     return hashed.join(kept, same(kept), "left_semi").dropDuplicates([doc_id, "_text_hash"]).drop("_text_hash")
