@@ -32,7 +32,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .components import components
 from .session import cut, settled
-from .textcore import LOWER, U64, mix, one_spaced, slices, text_bytes, words, xxh64_spans
+from .textcore import LOWER, U64, mix, one_spaced, ragged, segment_sums, slices, text_bytes, words, xxh64_spans
 
 WIDTH = 4
 MOST_BITS = 4
@@ -45,6 +45,7 @@ WIDE_STEPS = [(1, 4), (2, 9), (5, 13)]
 #: No two positions share more than one key: the steps' differences are all distinct.
 WIDE_KEYS = [tuple((k + step) % (8 * len(WIDE)) for step in (0, *steps)) for steps in WIDE_STEPS for k in range(8 * len(WIDE))]
 PAIRS = 2_000_000
+SIDE, SIDES = 128, 32
 
 
 def _shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -222,7 +223,7 @@ def _links_in_lists(key: np.ndarray, prints: list[np.ndarray], most: int, least:
 
 
 def _pairs_apart(key: np.ndarray, prints: list[np.ndarray], home: np.ndarray, most: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """As _links_in_lists(), but every link between rows of different homes, in parts of about PAIRS."""
+    """As _links_in_lists(), but every pair between rows of different homes, in parts of about PAIRS."""
     at, step, held, new = np.arange(max(len(key) - 1, 0)), 1, [], 0
     while len(at):
         at = at[at + step < len(key)]
@@ -241,19 +242,18 @@ def _pairs_apart(key: np.ndarray, prints: list[np.ndarray], home: np.ndarray, mo
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-def _linker(most: int, least: int, sure: int, apart: bool = False):
+def _linker(most: int, least: int, sure: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         size = 0
 
         def out(rows: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
             group, *prints = (np.concatenate(x) for x in zip(*rows, strict=True))
-            home = prints.pop() if apart else None
             prints = [w.view(U64) for w in prints]
-            for a, b, bits in _pairs_apart(group, prints, home, most, least) if apart else [_links_in_lists(group, prints, most, least, sure)]:
-                ends = [_folded([w[x] for w in prints]).view(np.int64) for x in (a, b)]
-                links = np.unique(np.stack([np.minimum(*ends), np.maximum(*ends), bits.astype(np.int64)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in links], names=["a", "b", "bits"])
+            a, b, bits = _links_in_lists(group, prints, most, least, sure)
+            ends = [_folded([w[x] for w in prints]).view(np.int64) for x in (a, b)]
+            links = np.unique(np.stack([np.minimum(*ends), np.maximum(*ends), bits.astype(np.int64)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in links], names=["a", "b", "bits"])
 
         for batch in batches:
             part = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -286,34 +286,31 @@ def near_links(
     least: int = LEAST_BYTES,
     sure: int | None = None,
     block: int = BLOCK,
-    home: str | None = None,
 ) -> DataFrame:
     """(a, b, bits): pairs of different fingerprints that share a key, have `least` positional bytes and all but `most` bits equal.
 
     The pairs connect all that such pairs connect, for every bound from `sure` (`most`) to `most`. `classes` holds each
     fingerprint once, as the longs `prints` (fingerprint_bits); a and b are _folded() ones, of one long that itself.
-    `keys` are the positions that must be equal; the default finds every pair within four of 64 bits. With `home`, a long
-    of classes, they are all such pairs of different homes and not only those that connect the others.
+    `keys` are the positions that must be equal; the default finds every pair within four of 64 bits.
     """
     prints = prints or ["fingerprint_bits"]
     names = [f"f{k}" for k in range(len(prints))]
-    more = ["home"] if home else []
-    classes = classes.select(*[classes[c].alias(n) for c, n in zip([*prints, *([home] if home else [])], [*names, *more], strict=True)])
+    classes = classes.select(*[classes[c].alias(n) for c, n in zip(prints, names, strict=True)])
 
     def key(k: int, positions: tuple[int, ...]) -> str:
         parts = [f"(shiftright(f{p // 8}, {8 * (p % 8)}) & 255L) << {8 * i}" for i, p in enumerate(positions)]
         return f"({' | '.join([f'{k}L << 40', *(f'({x})' for x in parts)])})"
 
-    listed = classes.selectExpr(*names, *more, f"explode(array({', '.join(key(k, c) for k, c in enumerate(keys))})) as list")
+    listed = classes.selectExpr(*names, f"explode(array({', '.join(key(k, c) for k, c in enumerate(keys))})) as list")
     # As a table of its own the few long lists meet the rows without a shuffle, as far as the planner sees that they are few.
     long = settled(listed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select(F.col("list").alias("hot"), F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     dealt = listed.join(long, listed["list"] == long["hot"], "left")
     own = F.pmod(F.xxhash64(*names), F.col("blocks")).cast("int")
     pairs = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j)))
     # The group is the hash of a list and a pair of blocks; what a collision adds is verified like the rest.
-    groups = dealt.select(*names, *more, "list", F.explode(pairs).alias("pair")).select(F.xxhash64("list", "pair").alias("group"), *names, *more)
+    groups = dealt.select(*names, "list", F.explode(pairs).alias("pair")).select(F.xxhash64("list", "pair").alias("group"), *names)
     groups = groups.repartition("group").sortWithinPartitions("group", names[0])
-    return groups.mapInArrow(_linker(most, least, most if sure is None else sure, home is not None), "a long, b long, bits long")
+    return groups.mapInArrow(_linker(most, least, most if sure is None else sure), "a long, b long, bits long")
 
 
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, most: int = MOST_BITS) -> DataFrame:
@@ -348,14 +345,17 @@ def bit_bounds(similarity: float) -> tuple[int, int]:
     return max(0, math.floor(WIDE_BITS * share - 3 * spread)), math.ceil(WIDE_BITS * share + 2.5 * spread)
 
 
-def _verified(hashed: DataFrame, prints: DataFrame, doubtful: DataFrame, text: str, width: int, similarity: float, same: Callable) -> DataFrame:
-    """Those links of doubtful whose ends' distinct shingles have the Jaccard similarity."""
-    ends = settled(doubtful.select("a").union(doubtful.select("b")).distinct().withColumnRenamed("a", "end"))
+def _sets(hashed: DataFrame, prints: DataFrame, ends: DataFrame, text: str, width: int, same: Callable) -> DataFrame:
+    """(end, shingles) of the classes `end`: the hashes of their distinct shingles, in order."""
     held = prints.join(ends, prints["node"] == ends["end"])
     held = held.groupBy("end").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text_hash")).alias("row"))
     held = held.select(F.col("end").alias("_end"), F.col("row.doc_id").alias("_kept"), F.col("row._text_hash").alias("_kept_hash"))
     texts = hashed.join(held, same(held)).select(held["_end"].alias("end"), hashed[text].alias("text")).dropDuplicates(["end"])
-    sets = settled(with_shingles(texts, ["end"], "text", width))
+    return settled(with_shingles(texts, ["end"], "text", width))
+
+
+def _verified(doubtful: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those links of doubtful whose ends' distinct shingles have the Jaccard similarity."""
     a, b = (sets.select(F.col("end").alias(f"end_{x}"), F.col("shingles").alias(f"shingles_{x}")) for x in "ab")
     both = doubtful.join(a, doubtful["a"] == a["end_a"]).join(b, doubtful["b"] == b["end_b"])
     shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
@@ -364,13 +364,70 @@ def _verified(hashed: DataFrame, prints: DataFrame, doubtful: DataFrame, text: s
 
 
 def _still_apart(classes: DataFrame, loose: DataFrame, groups: DataFrame) -> DataFrame:
-    """Of classes (with node) those, with `home`, whose component under all links holds several groups; home is the group."""
-    loose = loose.select(F.col("node").alias("_node"), F.col("component").alias("_loose"))
+    """Of classes (with node) those whose component `loose` under all links holds several groups; home is the group."""
+    loose = loose.select(F.col("node").alias("_node"), F.col("component").alias("loose"))
     groups = groups.select(F.col("node").alias("_in"), F.col("component").alias("_group"))
-    homes = settled(loose.join(groups, F.col("_node") == F.col("_in"), "left").select("_node", "_loose", F.coalesce("_group", "_node").alias("home")))
-    mixed = homes.groupBy("_loose").agg(F.min("home").alias("_low"), F.max("home").alias("_high")).where("_low < _high").select(F.col("_loose").alias("_mixed"))
-    homes = homes.join(mixed, F.col("_loose") == F.col("_mixed"), "left_semi")
-    return settled(classes.join(homes, F.col("node") == F.col("_node")).select(*WIDE, "home"))
+    homes = settled(loose.join(groups, F.col("_node") == F.col("_in"), "left").select("_node", "loose", F.coalesce("_group", "_node").alias("home")))
+    mixed = homes.groupBy("loose").agg(F.min("home").alias("_low"), F.max("home").alias("_high")).where("_low < _high").select(F.col("loose").alias("_mixed"))
+    homes = homes.join(mixed, F.col("loose") == F.col("_mixed"), "left_semi")
+    return settled(classes.join(homes, F.col("node") == F.col("_node")).select(*WIDE, "node", "home", "loose"))
+
+
+def _similar_apart(prints: list[np.ndarray], home: np.ndarray, side: np.ndarray, within: bool, flat: np.ndarray, at: np.ndarray, most: int, similarity: float) -> list[tuple[int, int]]:
+    """Rows of different homes that are similar: of the pairs that share a wide key as many as connect all that these connect.
+
+    Row i holds the hashes flat[at[i] : at[i + 1]], in order. Unless `within`, only pairs of different sides are compared.
+    """
+    m, size, out = len(home), np.diff(at), []
+    label = np.unique(home, return_inverse=True)[1]
+    octets = np.stack(prints, axis=1).astype("<u8").view(np.uint8)
+    key = np.concatenate([sum((octets[:, p].astype(np.int64) << 8 * i for i, p in enumerate(c)), np.full(m, k << 40)) for k, c in enumerate(WIDE_KEYS)])
+    order = np.argsort(key, kind="stable")
+    row = order % m
+    for a, b, _ in _pairs_apart(key[order], [w[row] for w in prints], home[row], most, 3):
+        a, b = np.minimum(row[a], row[b]), np.maximum(row[a], row[b])
+        pairs = np.unique((a * m + b)[within | (side[a] != side[b])])
+        a, b = pairs // m, pairs % m
+        begin = np.flatnonzero(np.diff(a, prepend=-1))
+        for i, others in zip(a[begin].tolist(), np.split(b, begin[1:]) if len(begin) else [], strict=True):
+            others = others[label[others] != label[i]]
+            own, theirs = flat[at[i] : at[i + 1]], flat[ragged(at[others], size[others])]
+            if not len(own) or not len(theirs):
+                continue
+            found = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+            shared = segment_sums(found.astype(np.int64), np.concatenate([[0], np.cumsum(size[others])]))
+            others = others[shared + 1e-9 >= (len(own) + size[others] - shared) * similarity]
+            met, first = np.unique(label[others], return_index=True)
+            out += [(i, j) for j in others[first].tolist()]
+            label[np.isin(label, met)] = label[i]
+    return out
+
+
+def _links_apart(rest: DataFrame, sets: DataFrame, most: int, similarity: float) -> DataFrame:
+    """(a, b): verified links that connect the homes of `rest` (of _still_apart()) as all of them together would.
+
+    Pairs are compared where they meet and only links leave the task, so what is written grows with the rows and not with
+    their pairs. The classes of a loose component are dealt by hash to blocks of about SIDE, at most SIDES, and every two
+    blocks are a group: a class goes to at most SIDES of these, whatever the component's size.
+    """
+    blocks = F.least(F.ceil(F.col("n") / SIDE), F.lit(SIDES)).cast("int")
+    dealt = rest.groupBy("loose").agg(F.count(F.lit(1)).alias("n")).select(F.col("loose").alias("_loose"), blocks.alias("blocks"))
+    rows = rest.join(dealt, F.col("loose") == F.col("_loose")).join(sets, F.col("node") == F.col("end"))
+    rows = rows.select(*WIDE, "node", "home", "loose", "shingles", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("side"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("side", j).alias("low"), F.greatest("side", j).alias("high")))
+    rows = rows.withColumn("pair", F.explode(pairs)).select("loose", "pair.low", "pair.high", *WIDE, "node", "home", "side", "shingles")
+
+    def go(group: pa.Table) -> pa.Table:
+        column = {c: group.column(c).combine_chunks() for c in group.column_names}
+        number = lambda c: column[c].to_numpy(zero_copy_only=False)
+        lists = column["shingles"]
+        at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))])
+        flat = lists.flatten().to_numpy(zero_copy_only=False).view(U64)
+        found = _similar_apart([number(c).view(U64) for c in WIDE], number("home"), number("side"), number("low")[0] == number("high")[0], flat, at, most, similarity)
+        ends = number("node")[np.array(found, np.int64).reshape(-1, 2)]
+        return pa.table({"a": ends.min(axis=1), "b": ends.max(axis=1)})
+
+    return rows.groupBy("loose", "low", "high").applyInArrow(go, "a long, b long")
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -378,7 +435,8 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     Texts link if their distinct shingles have the Jaccard similarity: pairs that share a key of the wide fingerprint
     and lie under the lower of bit_bounds() are linked, those up to the upper one are compared by their shingles: first
-    the closest pair of each two groups, then, where some of these fail, every pair of groups that are still apart.
+    the closest pair of each two groups, then, where some of these fail, every pair of groups that are still apart, in
+    tasks that write the links alone.
     Wordless and null texts are copies of one another. Ids don't link rows: rows with
     a null doc_id, and rows that share one but hold texts that aren't near, each stay for their own component.
     Repeated rows leave one; an empty table gives no rows; further columns are kept.
@@ -400,12 +458,12 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     apart = apart.select("bits", "a", "b", F.coalesce("group_a", "a").alias("x"), F.coalesce("group_b", "b").alias("y")).where("x <> y")
     closest = apart.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min(F.struct("bits", "a", "b")).alias("link"))
     doubtful = settled(closest.select("link.a", "link.b"))
-    verified = _verified(hashed, prints, doubtful, text, width, similarity, same)
+    ends = settled(doubtful.select("a").union(doubtful.select("b")).distinct().withColumnRenamed("a", "end"))
+    verified = _verified(doubtful, _sets(hashed, prints, ends, text, width, same), similarity)
     joined = settled(certain.union(verified))
     rest = _still_apart(classes, components(links.select("a", "b")), components(joined))
-    others = near_links(rest, WIDE, WIDE_KEYS, most, 3, home="home").select("a", "b").distinct()
-    others = settled(others.join(doubtful.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti"))
-    groups = settled(components(joined.union(_verified(hashed, prints, others, text, width, similarity, same))))
+    sets = _sets(hashed, prints, rest.select(F.col("node").alias("end")), text, width, same)
+    groups = settled(components(joined.union(_links_apart(rest, sets, most, similarity))))
     homes = prints.join(groups, prints["node"] == groups["node"], "left").select(F.coalesce("component", prints["node"]).alias("home"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text_hash").alias("row"))
     kept = homes.groupBy("home").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("_kept"), F.col("row._text_hash").alias("_kept_hash"))
     return hashed.join(kept, same(kept), "left_semi").dropDuplicates([doc_id, "_text_hash"]).drop("_text_hash")
