@@ -1,17 +1,17 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Trusted text is that of documents labelled quality 1 and not toxic. The model is fitted on a sample of them: about
-`per_lang` documents a language, drawn by the hash of the id, less a fifth that is kept apart. That parameter bounds the
-model, so its finished tables go to every task whatever the corpus holds. The thresholds come from all trusted
-documents that the model wasn't fitted on.
+Trusted text is that of documents labelled quality 1 and not toxic. judged() and accepted() learn from all of it, less a
+fifth that is kept apart for the thresholds, with the sharded tables of wholeney.py. fitted() gives a model that one
+process can hold: of about `per_lang` documents a language, drawn by the hash of the id, less a fifth; its thresholds come
+from all trusted documents that it wasn't fitted on.
 
-Words that the sample holds LEAST times or more are tokens of their own; any other word becomes the class of its
+Words that the text learned from holds LEAST times or more are tokens of their own; any other word becomes the class of its
 shape (upper, lower, digit, stop, symbol bytes, and whether it repeats the word before it), so junk is improbable
 although its words are new. Counting and the count joins (n-gram with context, n-gram with its lower order) run on
 the executors, sharded by the hash of the context as their joins shuffle it. A document is rejected if its perplexity is above the `quantile`
 of the trusted documents of its language that the fit didn't use, times `slack`. That quantile is a distributed sketch's,
 within a rank of 1 / ACCURACY of the documents. Documents of which over MOST_REPEATS of the words repeat the word before
-them are left out of the sample and of the thresholds, and a repeated word is never counted: labels are noisy, and runs
+them are left out of the fit and of the thresholds, and a repeated word is never counted: labels are noisy, and runs
 of one word would else become cheap.
 """
 
@@ -159,6 +159,7 @@ def _steady(t: Tokens) -> np.ndarray:
     """Whether MOST_REPEATS of a text's words or fewer repeat the word before them."""
     again = np.zeros(len(t.keys), np.int64)
     again[1:] = t.keys[1:] == t.keys[:-1]
+    again[t.offsets[:-1][t.offsets[:-1] < len(again)]] = 0  # the word before a text's first is another text's
     return segment_sums(again, t.offsets) <= MOST_REPEATS * np.diff(t.offsets)
 
 
@@ -236,45 +237,52 @@ def fit(sample: DataFrame, least: int = LEAST) -> Model | None:
     return Model(index, lookup(p3), lookup(g3.select("ab", F.log("gamma"))), lookup(p2.select(F.expr(f"(b2 << {BITS}) | c2"), F.log("p2"))), lookup(g2.select("b", F.log("gamma"))), lookup(p1.select("c1", F.log("p1"))), float(np.log(gamma1 / kinds)))
 
 
-def _set_limits(model: Model, rows: DataFrame, labels: DataFrame, sample: DataFrame, quantile: float, slack: float) -> None:
-    """Takes the limits from all trusted rows (doc_id, lang, perplexity, steady) that the fit didn't use."""
-    good, used = trusted_ids(labels), F.broadcast(sample.where(~F.col("apart") & F.col("text").isNotNull()).select(F.col("doc_id").alias("_used")).distinct())
-    fit_for = rows.where("doc_id IS NOT NULL AND steady").select("doc_id", "lang", "perplexity")
-    judges = fit_for.join(good, fit_for["doc_id"] == good["_id"], "left_semi").join(used, F.col("doc_id") == F.col("_used"), "left_anti")
+def _limits(judges: DataFrame, quantile: float, slack: float) -> dict[str | None, float]:
+    """The limit of each language of judges (lang, perplexity) with 20 rows or more, and under None that of all rows."""
     sketch = F.percentile_approx("perplexity", quantile, ACCURACY).alias("q")
     found = settled(judges.select("lang", "perplexity"))
     limits = found.groupBy("lang").agg(sketch, F.count(F.lit(1)).alias("n")).collect()
     pooled = found.agg(sketch).first()["q"]
-    model.limits = {r["lang"]: r["q"] * slack for r in limits if r["lang"] is not None and r["n"] >= 20}
-    model.limits[None] = pooled * slack if pooled is not None else np.inf
+    return {r["lang"]: r["q"] * slack for r in limits if r["lang"] is not None and r["n"] >= 20} | {None: pooled * slack if pooled is not None else np.inf}
 
 
 def fitted(docs: DataFrame, labels: DataFrame, per_lang: int = PER_LANG, quantile: float = QUANTILE, slack: float = SLACK) -> Model | None:
     """The model of a trusted sample with the limits that all other trusted documents set; None without a sample."""
-    found = scored(docs, labels, [], per_lang, quantile, slack)
-    return found and found[0]
+    sample = trusted_sample(docs, labels, per_lang)
+    model = fit(sample)
+    if model is None:
+        return None
+    good, used = trusted_ids(labels), F.broadcast(sample.where(~F.col("apart") & F.col("text").isNotNull()).select(F.col("doc_id").alias("_used")).distinct())
+    rows = perplexities(docs, model, ["doc_id", "lang"]).where("doc_id IS NOT NULL AND steady")
+    judges = rows.join(good, rows["doc_id"] == good["_id"], "left_semi").join(used, F.col("doc_id") == F.col("_used"), "left_anti")
+    model.limits = _limits(judges, quantile, slack)
+    return model
 
 
-def scored(docs: DataFrame, labels: DataFrame, keep: list[str], per_lang: int = PER_LANG, quantile: float = QUANTILE, slack: float = SLACK) -> tuple[Model, DataFrame] | None:
-    """The model with its limits and a table of all rows: `row` (a struct of the columns `keep`), lang, n_tokens, perplexity.
+def scored(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> tuple[dict[str | None, float], DataFrame] | None:
+    """The limits and (text_hash, n_tokens, perplexity, steady) of each distinct text, under the model of all trusted text.
 
-    All documents are scored once and where they lie, so that no text moves to meet the labels; None without a sample.
+    None without a trusted document to learn from.
     """
-    sample = trusted_sample(docs, labels, per_lang)
-    model = fit(sample)
-    if model is None:
+    from . import wholeney
+
+    found = wholeney.perplexities(docs, labels)
+    if found is None:
         return None
-    row = [F.struct(*[docs[c] for c in keep]).alias("row")] if keep else []
-    packed = docs.select(*row, docs["doc_id"].alias("doc_id"), docs["lang"].alias("lang"), docs["text"].alias("text"))
-    rows = settled(perplexities(packed, model, [c for c in packed.columns if c != "text"]))
-    _set_limits(model, rows, labels, sample, quantile, slack)
-    return model, rows
+    good = trusted_ids(labels)
+    apart = docs.where(docs["doc_id"].isNotNull() & held_out(docs["doc_id"], wholeney.SEPARATE, 0)).select("doc_id", "lang", text_hash(docs).alias("_hash"))
+    judges = apart.join(good, apart["doc_id"] == good["_id"], "left_semi").join(found.where("steady"), F.col("_hash") == F.col("text_hash"))
+    return _limits(judges, quantile, slack), found
+
+
+def text_hash(docs: DataFrame):
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
 
 
-def threshold(model: Model, lang: str = "lang"):
+def threshold(limits: dict[str | None, float], lang: str = "lang"):
     """The limit of a language; the pooled one where it has none."""
-    pooled = F.lit(float(model.limits.get(None, math.inf)))
-    named = [F.lit(x) for pair in model.limits.items() if pair[0] is not None for x in pair]
+    pooled = F.lit(float(limits.get(None, math.inf)))
+    named = [F.lit(x) for pair in limits.items() if pair[0] is not None for x in pair]
     return F.coalesce(F.create_map(*named)[F.col(lang)], pooled) if named else pooled
 
 
@@ -293,28 +301,33 @@ def perplexities(docs: DataFrame, model: Model, keep: list[str], text: str = "te
     return rows.mapInArrow(go, schema)
 
 
-def judged(docs: DataFrame, labels: DataFrame, keep: list[str], per_lang: int = PER_LANG) -> DataFrame:
-    """The columns `keep` (with lang), n_tokens, perplexity, threshold and kept of every row of docs.
+def judged(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns `keep`, n_tokens, perplexity, threshold and kept of every row of docs.
 
     A language with under 20 trusted documents that the fit didn't use, and a null language, take the pooled limit. With no
     trusted document every perplexity and threshold is null and every row is kept. A null text counts as empty: its
     only token is the end. Repeated rows give repeated rows; ties with the threshold are kept; an empty table gives
     no rows.
     """
-    found = scored(docs, labels, keep, per_lang)
+    found = scored(docs, labels)
     if found is None:
         none = F.lit(None).cast("double")
         n = F.regexp_count(F.coalesce(docs["text"], F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long") + 1
         return docs.select(*[docs[c] for c in keep], n.alias("n_tokens"), none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("kept"))
-    model, rows = found
-    limit = threshold(model)
-    return rows.select("row.*", "n_tokens", "perplexity", limit.alias("threshold"), (F.col("perplexity") <= limit).alias("kept"))
+    limits, scores = found
+    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), docs["lang"].alias("lang"), text_hash(docs).alias("_hash"))
+    limit = threshold(limits)
+    return rows.join(scores, F.col("_hash") == F.col("text_hash")).select("row.*", "n_tokens", "perplexity", limit.alias("threshold"), (F.col("perplexity") <= limit).alias("kept"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier keeps, with their columns, whatever these are called."""
-    found = scored(docs, labels, docs.columns, per_lang)
+    found = scored(docs, labels)
     if found is None:
         return docs
-    model, rows = found
-    return rows.where(F.col("perplexity") <= threshold(model)).select("row.*")
+    limits, scores = found
+    # Only texts over the lowest limit can be rejected: few, so the rows needn't move to meet them.
+    over = settled(scores.where(F.col("perplexity") > min(limits.values())).select("text_hash", "perplexity"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["lang"].alias("lang"), text_hash(docs).alias("_hash"))
+    rows = rows.join(over, F.col("_hash") == F.col("text_hash"), "left")
+    return rows.where(F.col("perplexity").isNull() | (F.col("perplexity") <= threshold(limits))).select("row.*")
