@@ -7,8 +7,7 @@
    its first occurrence by (document, position); every occurrence in another document is joined to it. That is one
    row an occurrence, never the pairs of a seed, and both sides of each join on a seed are plain shuffles, so that a
    seed that very many documents hold is split over tasks. Short seeds of one passage may have different first
-   holders; a long one's holds LONG words of it, so stray holders of parts can't hide it. Up to W - 1 words at either
-   end of a passage may stay outside if the holder of the seeds there holds less of it than another document.
+   holders; a long one's holds LONG words of it.
 3. Chaining. The anchors of a document with one holder are merged along diagonals, then chained: the best chain up to
    an anchor is its words plus the best of the chains that end before it in both documents, less a cost for each word
    skipped in either. The cost is linear, so a Fenwick tree over the holder's positions finds that maximum.
@@ -16,6 +15,10 @@
    counts if it has `least` words or more and a similarity (1 - edits / longer side) of `similar` or more. A chain that
    fails is split at its largest gap, a segment that fails at its unequal words, and every part is tried again. Edges
    grow through unequal words where the equal ones beyond make up for them.
+5. Whole windows. The holder of a long seed may hold only these LONG words of a passage and so hide a document that holds
+   it all. So the runs of `least` words around the long seeds that no passage found so far covers are joined, chained and
+   aligned in the same way, each with its own first holder. A run of `least` words holds a long seed, so every one that
+   an earlier document holds lies in a passage, be there whatever holders of its parts.
 
 A document is an id with a text: rows that share an id are documents of their own, unless their texts are equal too.
 The work on a chain is that of its two passages; a document that many others copy from is read once for each
@@ -69,12 +72,19 @@ def _runs(h: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _thinned(text: np.ndarray, h: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
-    """Which seeds to keep: of equal ones that overlap (words that repeat in a cycle) the first of every CYCLE words."""
+def _thinned(text: np.ndarray, h: np.ndarray, place: np.ndarray, size: int, every: int = CYCLE, ends: bool = False) -> np.ndarray:
+    """Which seeds to keep: of equal ones that overlap (words that repeat in a cycle) the first of every `every` words.
+
+    With `ends` the last one, too.
+    """
     order = np.lexsort((place, h, text))
     t, x, p = text[order], h[order], place[order]
     again = np.zeros(len(order), bool)
-    again[1:] = (t[1:] == t[:-1]) & (x[1:] == x[:-1]) & (p[1:] - p[:-1] <= size) & (p[1:] // CYCLE == p[:-1] // CYCLE)
+    meets = (t[1:] == t[:-1]) & (x[1:] == x[:-1]) & (p[1:] - p[:-1] <= size)
+    again[1:] = meets & (p[1:] // every == p[:-1] // every)
+    if ends:
+        again[:-1] &= meets
+        again[-1:] = False
     out = np.ones(len(order), bool)
     out[order[again]] = False
     return out
@@ -102,10 +112,16 @@ def seeds(t: Tokens, k: int = K, window: int = WINDOW, least: int = LEAST_WORDS)
     padded = np.concatenate([np.zeros(window - 1, U64), low])
     taken = (_sliding(padded, window, np.maximum) == h) & (h > 0)
     # Windows that began in the text before are of no matter: their low belongs to other hashes or is zero.
-    taken[1:] &= ~((h[1:] == h[:-1]) & (text[1:] == text[:-1]))  # of a run of one word the first
-    keep = np.flatnonzero(taken)
+    again = np.append(False, (h[1:] == h[:-1]) & (text[1:] == text[:-1]))
     size = max(k, least - window + 1)
-    far = keep[place[keep] + size <= n[text[keep]]]
+    # Of a run of one word the first; long seeds that go past its end begin at every window-th place from the end back,
+    # too: a passage may begin inside the run, and then only its end is shared.
+    order = np.arange(len(h))
+    back = np.minimum.accumulate(np.where(np.append(again[1:], False), len(h), order)[::-1])[::-1] - order
+    far = np.flatnonzero(taken & (~again | ((back % window == 0) & (back < size - k))))
+    taken &= ~again
+    keep = np.flatnonzero(taken)
+    far = far[place[far] + size <= n[text[far]]]
     long = _runs(t.keys, at[far], size)
     first = _thinned(text[far], long, place[far], size)
     far, long = far[first], long[first]
@@ -114,6 +130,17 @@ def seeds(t: Tokens, k: int = K, window: int = WINDOW, least: int = LEAST_WORDS)
     return np.concatenate([h[keep] & ~one, long | one]), np.concatenate([text[keep], text[far]]), np.concatenate([place[keep], place[far]])
 
 
+def _inside(of: np.ndarray, low: np.ndarray, high: np.ndarray, owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether low[i]:high[i] of text of[i] lies in one of the ranges start:end of the texts `owner`."""
+    if not len(owner):
+        return np.zeros(len(of), bool)
+    start, end = (owner << 32) + start, (owner << 32) + end
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    at = np.searchsorted(start, (of << 32) + low, "right") - 1
+    return (at >= 0) & (reach[at] >= (of << 32) + high)
+
+
 def chain(q0: np.ndarray, q1: np.ndarray, r0: np.ndarray, r1: np.ndarray, skip: float = SKIP_COST) -> list[np.ndarray]:
     """Collinear chains of segments (half-open word ranges in both texts), best first; each segment is in one chain.
 
@@ -432,11 +459,82 @@ def _passages(docs: DataFrame, doc_id: str, text: str, k: int, window: int, leas
     held = settled(spread.join(shared, F.col("seed") == F.col("of")).select("seed", "doc", "copy", "pos"))
     heads = settled(held.groupBy("seed").agg(F.min(F.struct("doc", "copy", "pos")).alias("head")).select(F.col("seed").alias("of"), F.col("head.doc").alias("holder"), F.col("head.copy").alias("holder_copy"), F.col("head.pos").alias("at")))
     size = F.when(F.col("seed").bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(long)).otherwise(F.lit(k)).cast("int")
-    anchors = held.join(heads, F.col("seed") == F.col("of")).where((F.col("doc") != F.col("holder")) | (F.col("copy") != F.col("holder_copy"))).select(*PAIR, "pos", "at", size.alias("size"))
+    met = held.join(heads, F.col("seed") == F.col("of"))
+    later = (F.col("doc") != F.col("holder")) | (F.col("copy") != F.col("holder_copy"))
+    odd = F.col("seed").bitwiseAND(F.lit(1).cast("long")) == 1
+    far = settled(met.where(odd).select("seed", "doc", "copy", "pos", later.alias("later")))
+    anchors = met.where(later).select(*PAIR, "pos", "at", F.when(odd, F.lit(long)).otherwise(F.lit(k)).cast("int").alias("size"))
+    found = settled(_confirmed(rows, anchors, k, window, least, similar))
+    forget(shared, held, heads)
+    wide = _open_windows(rows, far, found, window, least)
+    heads = settled(wide.groupBy("seed").agg(F.min(F.struct("doc", "copy", "pos")).alias("head")).select(F.col("seed").alias("of"), F.col("head.doc").alias("holder"), F.col("head.copy").alias("holder_copy"), F.col("head.pos").alias("at")))
+    anchors = wide.where("open").join(heads, F.col("seed") == F.col("of")).where(later).select(*PAIR, "pos", "at", F.lit(least).alias("size"))
+    more = settled(_confirmed(rows, anchors, k, window, least, similar))
+    forget(far, wide, heads)
+    return found.union(more)
+
+
+def _open_windows(rows: DataFrame, far: DataFrame, found: DataFrame, window: int, least: int) -> DataFrame:
+    """(seed, doc, copy, pos, open): the runs of `least` words around those long seeds `far` that `found` leaves open.
+
+    A seed is open if a document other than its holder has a run around it that no passage of that document covers; the
+    runs around it are given for every document that holds it, with `open` where they aren't covered.
+    """
+    before, after = window - 1, CYCLE - 1  # of equal seeds the one behind may have been thinned out
+    spans = settled(found.groupBy(F.col("doc").alias("_doc"), F.col("copy").alias("_copy")).agg(F.collect_set(F.struct("start", "end")).alias("spans")))
+    none = F.array().cast(spans.schema["spans"].dataType)
+
+    def with_spans(marks: DataFrame) -> DataFrame:
+        joined = marks.join(spans, (F.col("doc") == F.col("_doc")) & (F.col("copy") == F.col("_copy")), "left")
+        return joined.select("doc", "copy", "marks", F.coalesce("spans", none).alias("spans"))
+
+    def lists(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+        count = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = column.flatten()
+        parts = [flat.field(i) for i in range(flat.type.num_fields)] if pa.types.is_struct(flat.type) else [flat]
+        return np.repeat(np.arange(len(count)), count), [x.to_numpy(zero_copy_only=False).astype(np.int64) for x in parts]
+
+    def left_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, (seed, pos) = lists(batch.column(0))
+            owner, ends = lists(batch.column(1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(seed[~_inside(of, np.maximum(pos - before, 0), pos + after + least, owner, *ends)]))], names=["seed"])
+
+    marked = with_spans(far.where("later").groupBy("doc", "copy").agg(F.collect_list(F.struct("seed", "pos")).alias("marks"))).select("marks", "spans")
+    opened = settled(marked.mapInArrow(left_open, "seed long").distinct())
+    asked = settled(with_spans(far.join(opened, "seed", "left_semi").groupBy("doc", "copy").agg(F.collect_set("pos").alias("marks"))))
+    texts = rows.join(asked, (rows["doc"] == asked["doc"]) & (rows["copy"] == asked["copy"])).select("text", asked["doc"], asked["copy"], "marks", "spans")
+
+    def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            t = Tokens(batch.column(0))
+            of, (pos,) = lists(batch.column(3))
+            owner, ends = lists(batch.column(4))
+            # A run of one word has one long seed, which stands for all that lie in the run.
+            docs = t.docs()
+            last = np.flatnonzero(np.append((t.keys[1:] != t.keys[:-1]) | (docs[1:] != docs[:-1]), True))
+            at = t.offsets[:-1][of] + pos
+            count = before + 1 + np.maximum(after, last[np.searchsorted(last, at)] + 1 - least - at)
+            of, pos = np.repeat(of, count), ragged(pos - before, count)
+            keep = (pos >= 0) & (pos + least <= np.diff(t.offsets)[of])
+            of, pos = np.divmod(np.unique((of[keep] << 32) + pos[keep]), 1 << 32)
+            seed = _runs(t.keys, t.offsets[:-1][of] + pos, least)
+            keep = _thinned(of, seed, pos, least, least // 2, True)
+            of, pos, seed = of[keep], pos[keep], seed[keep]
+            is_open = ~_inside(of, pos, pos + least, owner, *ends)
+            of = pa.array(of)
+            yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), batch.column(1).take(of), batch.column(2).take(of), pa.array(pos.astype(np.int32)), pa.array(is_open)], names=["seed", "doc", "copy", "pos", "open"])
+
+    out = settled(texts.mapInArrow(cut_windows, "seed long, doc long, copy long, pos int, open boolean"))
+    forget(spans, opened, asked)
+    return out
+
+
+def _confirmed(rows: DataFrame, anchors: DataFrame, k: int, window: int, least: int, similar: float) -> DataFrame:
+    """The passages (columns OUT) of the chains of anchors (PAIR, pos, at, size); rows are _identified()."""
     dealt = anchors.repartition(*PAIR).sortWithinPartitions(*PAIR, "pos", "at")
     least_span = max(k, int(least * similar) - 2 * (window - 1))
     chains = cut(dealt.mapInArrow(_chainer(k, window, least_span), "doc long, copy long, holder long, holder_copy long, q0 long, q1 long, r0 long, r1 long, parts binary"))
-    forget(shared, held, heads)
 
     low = lambda c: F.greatest(F.col(c) - FLANK, F.lit(0).cast("long"))
     mine_wanted = chains.select(F.col("doc").alias("id"), F.col("copy").alias("id_copy"), low("q0").alias("a"), (F.col("q1") + FLANK).alias("b"))

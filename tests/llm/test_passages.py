@@ -60,6 +60,35 @@ def test_all_shared_runs_are_found(spark, seed):
     assert checked > 50
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_holders_of_parts_hide_no_passage(spark, seed):
+    """Earlier documents hold 43 to 49 words around every long seed; each run of 50 that one holds whole is covered whole."""
+    r = np.random.default_rng(seed)
+    rows = []
+    for _ in range(8):
+        common = fresh(r, 110)
+        if r.random() < 0.4:
+            common[30:55] = fresh(r, 1) * 25  # a run of one word, which passages may begin or end in
+        for a in range(0, 110 - 49, 5):
+            rows.append(fresh(r, 30) + common[a : a + 49] + fresh(r, 30))
+        for _ in range(5):
+            a, n = int(r.integers(0, 60)), int(r.integers(50, 61))
+            rows.append(fresh(r, 20) + common[a : a + n] + fresh(r, int(r.integers(0, 20))))
+    word = fresh(r, 1)
+    rows += [fresh(r, 5) + word * 60 + fresh(r, 5), fresh(r, 9) + word * 203 + fresh(r, 5)]
+    rows = list(enumerate(rows))
+    got, checked = reported(spark, rows), 0
+    for k, (i, b) in enumerate(rows):
+        cover = np.zeros(len(b), bool)
+        for s, e in got.get(i, []):
+            cover[s:e] = True
+        for _, a in rows[:k]:
+            for s, e in equal_runs(a, b, chaining.LEAST_WORDS):
+                checked += 1
+                assert cover[s:e].all(), (i, s, e)
+    assert checked > 50
+
+
 def test_cycles_drift_and_repeats(spark):
     r = np.random.default_rng(5)
     cycle = fresh(r, 3) * 40
