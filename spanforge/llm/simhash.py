@@ -44,7 +44,8 @@ WIDE_BITS = 64 * len(WIDE)
 WIDE_STEPS = [(1, 4), (2, 9), (5, 13)]
 #: No two positions share more than one key: the steps' differences are all distinct.
 WIDE_KEYS = [tuple((k + step) % (8 * len(WIDE)) for step in (0, *steps)) for steps in WIDE_STEPS for k in range(8 * len(WIDE))]
-PAIRS = 2_000_000
+PAIRS = 500_000
+LINKS = 1_000_000
 SIDE, SIDES = 128, 32
 
 
@@ -430,6 +431,37 @@ def _links_apart(rest: DataFrame, sets: DataFrame, most: int, similarity: float)
     return rows.groupBy("loose", "low", "high").applyInArrow(go, "a long, b long")
 
 
+def _connecting(links: DataFrame) -> DataFrame:
+    """(a, b): as few links as connect what those of a settled table connect, in parts of about LINKS of them.
+
+    A part gives each of its nodes one link, to the smallest node that it reaches there. So rounds over links don't carry
+    the up to 96 links that a near copy has, one of each list.
+    """
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            ends = np.concatenate(held, axis=1)
+            nodes, at = np.unique(ends, return_inverse=True)
+            at = at.reshape(ends.shape)
+            label = _forest(len(nodes), at[0], at[1])
+            moved = np.flatnonzero(label != np.arange(len(nodes)))
+            return pa.RecordBatch.from_arrays([pa.array(nodes[label[moved]]), pa.array(nodes[moved])], names=["a", "b"])
+
+        for batch in batches:
+            held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]))
+            size += batch.num_rows
+            if size >= LINKS:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    parts = -(-links.count() // LINKS)
+    return links.select("a", "b").coalesce(max(1, parts)).mapInArrow(go, "a long, b long")
+
+
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of docs for each component of near copies: that with the smallest doc_id, a null counting as largest.
 
@@ -452,7 +484,7 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     links = near_links(classes, WIDE, WIDE_KEYS, most, 3, sure)
     links = settled(links.groupBy("a", "b").agg(F.min("bits").alias("bits")))
     certain = links.where(F.col("bits") <= sure).select("a", "b")
-    first = settled(components(certain))
+    first = settled(components(_connecting(certain)))
     x, y = (first.select(F.col("node").alias(f"node_{c}"), F.col("component").alias(f"group_{c}")) for c in "ab")
     apart = links.where(F.col("bits") > sure).join(x, F.col("a") == x["node_a"], "left").join(y, F.col("b") == y["node_b"], "left")
     apart = apart.select("bits", "a", "b", F.coalesce("group_a", "a").alias("x"), F.coalesce("group_b", "b").alias("y")).where("x <> y")
@@ -461,9 +493,10 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     ends = settled(doubtful.select("a").union(doubtful.select("b")).distinct().withColumnRenamed("a", "end"))
     verified = _verified(doubtful, _sets(hashed, prints, ends, text, width, same), similarity)
     joined = settled(certain.union(verified))
-    rest = _still_apart(classes, components(links.select("a", "b")), components(joined))
+    rest = _still_apart(classes, components(_connecting(links)), components(_connecting(joined)))
     sets = _sets(hashed, prints, rest.select(F.col("node").alias("end")), text, width, same)
-    groups = settled(components(joined.union(_links_apart(rest, sets, most, similarity))))
+    found = settled(_links_apart(rest, sets, most, similarity))
+    groups = settled(components(_connecting(joined.union(found))))
     homes = prints.join(groups, prints["node"] == groups["node"], "left").select(F.coalesce("component", prints["node"]).alias("home"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text_hash").alias("row"))
     kept = homes.groupBy("home").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("_kept"), F.col("row._text_hash").alias("_kept_hash"))
     return hashed.join(kept, same(kept), "left_semi").dropDuplicates([doc_id, "_text_hash"]).drop("_text_hash")

@@ -66,3 +66,35 @@ def test_doubtful_pairs_are_not_written(spark, monkeypatch):
     assert ids >= set(label) and len(ids) <= 1.1 * len(set(label)) + 1
     first = next(i for i, (columns, _) in enumerate(written) if "home" in columns)
     assert all(n <= 2 * 300 for _, n in written[first:]), written
+
+
+def test_rounds_carry_one_link_a_copy(spark, monkeypatch):
+    """Copies share many lists and have a link of each; what goes through the rounds of components is a forest of them."""
+    rng = np.random.default_rng(4)
+    base = np.array([f"w{x}" for x in rng.integers(0, 10**9, 220)], object)
+    rows = []
+    for i in range(200):
+        x = base.copy()
+        x[rng.choice(220, 3, replace=False)] = [f"v{i}-{j}" for j in range(3)]
+        rows.append((i, " ".join(x)))
+    given, components = [], simhash.components
+
+    def counted(links):
+        given.append(links.count())
+        return components(links)
+
+    monkeypatch.setattr(simhash, "components", counted)
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert kept.count() < 20
+    assert given and max(given) < 200, given
+
+
+def test_a_forest_in_parts_connects_the_same(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LINKS", 50)
+    rng = np.random.default_rng(5)
+    a, b = (rng.integers(-300, 300, 400) for _ in range(2))
+    links = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b, strict=True)], "a long, b long").repartition(8)
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = simhash._forest(len(nodes), at[:400], at[400:])
+    want = {(int(n), int(nodes[x])) for n, x in zip(nodes, label, strict=True) if (label == x).sum() > 1}
+    assert {tuple(r) for r in simhash.components(simhash._connecting(links)).collect()} == want
