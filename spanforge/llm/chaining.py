@@ -18,7 +18,8 @@
 5. Whole windows. The holder of a long seed may hold only these LONG words of a passage and so hide a document that holds
    it all. So the runs of `least` words around the long seeds that no passage found so far covers are joined, chained and
    aligned in the same way, each with its own first holder. A run of `least` words holds a long seed, so every one that
-   an earlier document holds lies in a passage, be there whatever holders of its parts.
+   an earlier document holds lies in passages, be there whatever holders of its parts; of a run of one word that is
+   longer than its holder's, a part may stay outside.
 
 A document is an id with a text: rows that share an id are documents of their own, unless their texts are equal too.
 The work on a chain is that of its two passages; a document that many others copy from is read once for each
