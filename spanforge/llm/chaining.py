@@ -32,11 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from .session import cut, forget, settled
+from .sieve import NAME, sieved
 from .textcore import U64, mix, ragged, slices
 from .wordstats import Tokens
 
@@ -475,6 +476,15 @@ def _passages(docs: DataFrame, doc_id: str, text: str, k: int, window: int, leas
     return found.union(more)
 
 
+def _owner(doc: str = "doc", copy: str = "copy") -> Column:
+    return F.xxhash64(doc, copy)
+
+
+def _among(rows: DataFrame, owners: DataFrame) -> DataFrame:
+    """The rows of _identified() whose _owner() is in owners, and few others: a join that follows moves no other text."""
+    return sieved(rows, _owner(), owners).where(NAME).drop(NAME)
+
+
 def _open_windows(rows: DataFrame, far: DataFrame, found: DataFrame, window: int, least: int) -> DataFrame:
     """(seed, doc, copy, pos, open): the runs of `least` words around those long seeds `far` that `found` leaves open.
 
@@ -504,7 +514,8 @@ def _open_windows(rows: DataFrame, far: DataFrame, found: DataFrame, window: int
     marked = with_spans(far.where("later").groupBy("doc", "copy").agg(F.collect_list(F.struct("seed", "pos")).alias("marks"))).select("marks", "spans")
     opened = settled(marked.mapInArrow(left_open, "seed long").distinct())
     asked = settled(with_spans(far.join(opened, "seed", "left_semi").groupBy("doc", "copy").agg(F.collect_set("pos").alias("marks"))))
-    texts = rows.join(asked, (rows["doc"] == asked["doc"]) & (rows["copy"] == asked["copy"])).select("text", asked["doc"], asked["copy"], "marks", "spans")
+    few = _among(rows, asked.select(_owner()))
+    texts = few.join(asked, (few["doc"] == asked["doc"]) & (few["copy"] == asked["copy"])).select("text", asked["doc"], asked["copy"], "marks", "spans")
 
     def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -542,7 +553,8 @@ def _confirmed(rows: DataFrame, anchors: DataFrame, k: int, window: int, least:
     wanted = mine_wanted.union(chains.select("holder", "holder_copy", low("r0"), F.col("r1") + FLANK)).distinct()
     asked = wanted.groupBy("id", "id_copy").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     # Equal rows are one document and are read once.
-    texts = rows.join(asked, (rows["doc"] == asked["id"]) & (rows["copy"] == asked["id_copy"])).select("text", "id", "id_copy", "ranges")
+    few = _among(rows, chains.select(_owner()).union(chains.select(_owner("holder", "holder_copy"))))
+    texts = few.join(asked, (few["doc"] == asked["id"]) & (few["copy"] == asked["id_copy"])).select("text", "id", "id_copy", "ranges")
 
     def slice_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -599,6 +611,8 @@ def without_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     spans = settled(found.groupBy(F.col("doc").alias("_id"), F.col("copy").alias("_copy")).agg(F.collect_set(F.struct("start", "end")).alias("_spans")))
     names = docs.columns
     packed = docs.select(docs[text].alias("text"), F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("id_copy"), F.struct(*[docs[c] for c in names if c != text]).alias("row"))
+    packed = sieved(packed, _owner("id", "id_copy"), spans.select(_owner("_id", "_copy")))
+    whole, packed = packed.where(~F.col(NAME)), packed.where(NAME)
     joined = packed.join(spans, (packed["id"] == spans["_id"]) & (packed["id_copy"] == spans["_copy"]), "left").select("text", "_spans", "row")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -634,4 +648,5 @@ def without_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(2).take(pa.array(left, pa.int64()))], names=["text", "row"])
 
     done = joined.mapInArrow(cut_out, StructType([StructField("text", StringType()), StructField("row", joined.schema["row"].dataType)]))
-    return done.select(*[F.col("text").alias(c) if c == text else F.col(f"row.{c}").alias(c) for c in names])
+    unpacked = [F.col("text").alias(c) if c == text else F.col(f"row.{c}").alias(c) for c in names]
+    return whole.select(*unpacked).union(done.select(*unpacked))

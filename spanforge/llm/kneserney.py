@@ -29,6 +29,7 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, St
 
 from .langid import held_out
 from .session import cut, settled
+from .sieve import NAME, sieved
 from .textcore import U64, U64Map, segment_sums, slices
 from .wordstats import Tokens
 
@@ -326,8 +327,10 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if found is None:
         return docs
     limits, scores = found
-    # Only texts over the lowest limit can be rejected: few, so the rows needn't move to meet them.
+    # Only texts over the lowest limit can be rejected: the other rows needn't move to meet them.
     over = settled(scores.where(F.col("perplexity") > min(limits.values())).select("text_hash", "perplexity"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["lang"].alias("lang"), text_hash(docs).alias("_hash"))
-    rows = rows.join(over, F.col("_hash") == F.col("text_hash"), "left")
-    return rows.where(F.col("perplexity").isNull() | (F.col("perplexity") <= threshold(limits))).select("row.*")
+    rows = sieved(rows, F.col("_hash"), over.select("text_hash"))
+    doubtful = rows.where(NAME).join(over, F.col("_hash") == F.col("text_hash"), "left")
+    doubtful = doubtful.where(F.col("perplexity").isNull() | (F.col("perplexity") <= threshold(limits)))
+    return rows.where(~F.col(NAME)).select("row.*").union(doubtful.select("row.*"))

@@ -32,6 +32,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .components import components
 from .session import cut, settled
+from .sieve import NAME, sieved
 from .textcore import LOWER, U64, mix, one_spaced, ragged, segment_sums, slices, text_bytes, words, xxh64_spans
 
 WIDTH = 4
@@ -351,7 +352,9 @@ def _sets(hashed: DataFrame, prints: DataFrame, ends: DataFrame, text: str, widt
     held = prints.join(ends, prints["node"] == ends["end"])
     held = held.groupBy("end").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text_hash")).alias("row"))
     held = held.select(F.col("end").alias("_end"), F.col("row.doc_id").alias("_kept"), F.col("row._text_hash").alias("_kept_hash"))
-    texts = hashed.join(held, same(held)).select(held["_end"].alias("end"), hashed[text].alias("text")).dropDuplicates(["end"])
+    held = settled(held)
+    few = sieved(hashed, hashed["_text_hash"], held.select("_kept_hash")).where(NAME)
+    texts = few.join(held, same(few, held)).select(held["_end"].alias("end"), few[text].alias("text")).dropDuplicates(["end"])
     return settled(with_shingles(texts, ["end"], "text", width))
 
 
@@ -475,8 +478,8 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     hashed = docs.withColumn("_text_hash", F.xxhash64(docs[text]))
 
-    def same(rows: DataFrame):
-        return hashed[doc_id].eqNullSafe(rows["_kept"]) & (hashed["_text_hash"] == rows["_kept_hash"])
+    def same(rows: DataFrame, kept: DataFrame):
+        return rows[doc_id].eqNullSafe(kept["_kept"]) & (rows["_text_hash"] == kept["_kept_hash"])
 
     prints = cut(with_wide_fingerprint(hashed.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), "_text_hash"), ["doc_id", "_text_hash"], "text", width))
     sure, most = bit_bounds(similarity)
@@ -499,4 +502,11 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     groups = settled(components(_connecting(joined.union(found))))
     homes = prints.join(groups, prints["node"] == groups["node"], "left").select(F.coalesce("component", prints["node"]).alias("home"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text_hash").alias("row"))
     kept = homes.groupBy("home").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("_kept"), F.col("row._text_hash").alias("_kept_hash"))
-    return hashed.join(kept, same(kept), "left_semi").dropDuplicates([doc_id, "_text_hash"]).drop("_text_hash")
+    kept = settled(kept)
+    # Only rows that go, or of which there are several, need to move: a key that is kept and occurs once stays where it is.
+    keyed = prints.groupBy("doc_id", "_text_hash").agg(F.count(F.lit(1)).alias("n"))
+    several = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_kept"]) & (keyed["_text_hash"] == kept["_kept_hash"]), "left").where((F.col("n") > 1) | F.col("_kept_hash").isNull())
+    rows = sieved(hashed, hashed["_text_hash"], settled(several.select(F.col("_text_hash").alias("_moved"))))
+    moved = rows.where(NAME).drop(NAME)
+    moved = moved.join(kept, same(moved, kept), "left_semi").dropDuplicates([doc_id, "_text_hash"])
+    return rows.where(~F.col(NAME)).drop(NAME).union(moved).drop("_text_hash")
